@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, packing
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLE_SQL = {
