@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing
+from tessera.llm import chat_format, exact_dedup, packing, secrets
 
 QUERIES = {
+    "op4_chat_format": chat_format.op4_chat_format,
+    "op5_secrets": secrets.op5_secrets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_packing": packing.op9_packing,
 }
 
 ORACLE_SQL = {
+    "op4_chat_format": chat_format.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
