@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, exact_dedup, packing, secrets
+from tessera.llm import chat_format, exact_dedup, order_minhash, packing, quality, secrets
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
+    "op10_order_minhash": order_minhash.op10_order_minhash,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_secrets": secrets.op5_secrets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
