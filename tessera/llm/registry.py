@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, exact_dedup, order_minhash, packing, quality, secrets
+from tessera.llm import chat_format, exact_dedup, order_minhash, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op3_quality": quality.op3_quality,
     "op10_order_minhash": order_minhash.op10_order_minhash,
     "op4_chat_format": chat_format.op4_chat_format,
