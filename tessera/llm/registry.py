@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, exact_dedup, order_minhash, packing, quality, secrets, toxicity
+from tessera.llm import chat_format, exact_dedup, near_duplicates, order_minhash, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_near_duplicates": near_duplicates.op1_near_duplicates,
     "op6_toxicity": toxicity.op6_toxicity,
     "op3_quality": quality.op3_quality,
     "op10_order_minhash": order_minhash.op10_order_minhash,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_duplicates": near_duplicates.OP1_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
