@@ -157,3 +157,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, per_cl
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, per_class: int = 2000, epochs: int = 3) -> DataFrame:
+    """``docs`` without the rows that score below ``least``; same columns, no shuffle."""
+    w = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, "quality", per_class), epochs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([score(t.as_py() or "", w.value) >= least for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
