@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +52,14 @@ def generate(df: DataFrame, prompt: str, factory: Callable[[], Generator], outpu
                 out.append(on_error)
         return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = factory()
         try:
-            for frame in frames:
-                prompts = frame.iloc[:, at].tolist()
+            for b in batches:
+                prompts = b.column(at).to_pylist()
                 made = [x for i in range(0, len(prompts), batch) for x in ask(engine, prompts[i : i + batch])]
-                yield frame.assign(**{output: made})
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, output])
         finally:
             engine.unload()
 
-    return df.mapInPandas(run, df.withColumn(output, F.lit("")).schema)
+    return df.mapInArrow(run, df.withColumn(output, F.lit("")).schema)

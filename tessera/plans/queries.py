@@ -36,8 +36,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-TEXT = F.col("text")
-LINES = F.replace(TEXT, F.lit("\n"), F.lit("\n\n"))
+
+
+def text() -> Column:
+    return F.col("text")
+
+
+def spaced_lines() -> Column:
+    """Lines as paragraphs."""
+    return F.replace(text(), F.lit("\n"), F.lit("\n\n"))
+
+
 
 # --- SQL pieces ---
 _ENDS = r"""[.,;:"()\[\]{}<>!?''\-]"""
@@ -67,7 +76,7 @@ _LETTERS = "[^\\pL\\pN_]"
 WITH d AS (SELECT lang, CASE WHEN {_META} THEN 'metadata' WHEN {_OCR} THEN 'ocr' ELSE 'kept' END AS disposition FROM documents)
 SELECT lang, disposition, count(*) AS n FROM d GROUP BY ALL""")
 def q01_doc_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("lang", quality.disposition(TEXT).alias("disposition"))
+    docs = read(spark, sf_dir, "documents").select("lang", quality.disposition(text()).alias("disposition"))
     return docs.groupBy("lang", "disposition").agg(F.count("*").alias("n"))
 
 
@@ -75,14 +84,14 @@ def q01_doc_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS total, count(*) FILTER (length(text) < 100) AS short, count(*) FILTER (length(text) >= 100 AND {_META}) AS metadata,
        count(*) FILTER (length(text) >= 100 AND NOT {_META} AND {_OCR}) AS ocr FROM documents""")
 def q02_drop_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.drop_accounting(read(spark, sf_dir, "documents"), TEXT, quality.is_metadata(TEXT), quality.is_bad_ocr(TEXT))
+    return relational.drop_accounting(read(spark, sf_dir, "documents"), text(), quality.is_metadata(text()), quality.is_bad_ocr(text()))
 
 
 @query(f"SELECT doc_id, {_BAD} AS bad, len({_TOKENS}) AS total FROM documents")
 def q03_bad_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.functions.text import tokens_u
 
-    return read(spark, sf_dir, "documents").select("doc_id", quality.bad_tokens(TEXT).cast("long").alias("bad"), F.size(tokens_u(TEXT)).cast("long").alias("total"))
+    return read(spark, sf_dir, "documents").select("doc_id", quality.bad_tokens(text()).cast("long").alias("bad"), F.size(tokens_u(text())).cast("long").alias("total"))
 
 
 #: Stand-in keywords that the tables hold.
@@ -91,18 +100,18 @@ _WORDS = ["UND", "Sich", "QUE", "Mit", "OUAN", "ERTH"]
 
 @query(f"SELECT doc_id, {_metadata_sql(_WORDS, False, None)} AS metadata FROM documents")
 def q04_metadata_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", quality.is_metadata(TEXT, _WORDS, upper_keywords=False, min_body=None).alias("metadata"))
+    return read(spark, sf_dir, "documents").select("doc_id", quality.is_metadata(text(), _WORDS, upper_keywords=False, min_body=None).alias("metadata"))
 
 
 @query(f"SELECT doc_id, {_metadata_sql(_WORDS)} AS metadata FROM documents")
 def q04_metadata_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", quality.is_metadata(TEXT, _WORDS).alias("metadata"))
+    return read(spark, sf_dir, "documents").select("doc_id", quality.is_metadata(text(), _WORDS).alias("metadata"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE source <> '' AND text <> '' AND length(text) >= 100 AND NOT {_META} AND NOT {_OCR}")
 def q05_valid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return docs.where(quality.is_valid_chunk(F.col("doc_id"), TEXT, F.col("source"))).select("doc_id")
+    return docs.where(quality.is_valid_chunk(F.col("doc_id"), text(), F.col("source"))).select("doc_id")
 
 
 @query("SELECT lang AS value, count(*) AS n, min(doc_id) AS first_seq FROM documents GROUP BY lang")
@@ -117,7 +126,7 @@ def q06_frequency_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, min(length(text)) AS shortest, round(avg(length(text)), 6) AS mean, max(length(text)) AS longest, count(DISTINCT coalesce(source, '')) AS sources FROM documents")
 def q07_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.char_length(TEXT).cast("long").alias("len"), F.coalesce("source", F.lit("")).alias("source"))
+    docs = read(spark, sf_dir, "documents").select(F.char_length(text()).cast("long").alias("len"), F.coalesce("source", F.lit("")).alias("source"))
     one = relational.length_stats(docs, F.col("len")).withColumn("mean", F.round("mean", 6))
     return one.crossJoin(docs.agg(F.countDistinct("source").alias("sources")))  # one row each
 
@@ -130,7 +139,7 @@ CROSS JOIN LATERAL (SELECT p AS text) AS t
 WHERE NOT {_metadata_sql(quality.EXTRACT_KEYWORDS, False, None)} AND NOT {_OCR}
 GROUP BY doc_id HAVING length(coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i), '')) >= 200""")
 def q08_kept_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", chunking.kept_paragraphs(LINES).alias("t"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", chunking.kept_paragraphs(spaced_lines()).alias("t"))
     return docs.where(F.char_length("t") >= 200).select("doc_id", F.md5("t").alias("text_md5"))
 
 
@@ -175,9 +184,9 @@ _CHUNK_ROWS = "SELECT doc_id, chunk_index, 'doc_' || doc_id || '_chunk_' || lpad
 
 
 def _chunk_rows(docs: DataFrame, boundary: str) -> DataFrame:
-    made = chunking.chunk_documents(docs, LINES, ["doc_id"], boundary=boundary)
+    made = chunking.chunk_documents(docs, spaced_lines(), ["doc_id"], boundary=boundary)
     name = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return made.select("doc_id", "chunk_index", classify.chunk_id(name, F.col("chunk_index")).alias("chunk_id"), F.char_length("text").cast("long").alias("n"), classify.fingerprint(TEXT).alias("content_hash"), "start_char", "end_char")
+    return made.select("doc_id", "chunk_index", classify.chunk_id(name, F.col("chunk_index")).alias("chunk_id"), F.char_length("text").cast("long").alias("n"), classify.fingerprint(text()).alias("content_hash"), "start_char", "end_char")
 
 
 @query(_chunks_sql("false", _CHUNK_ROWS))
@@ -196,20 +205,20 @@ def q10_chunks_with_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_chunks_sql("false", "SELECT lang, count(*) AS n, min(length(t)) AS shortest, round(avg(length(t)), 6) AS mean, max(length(t)) AS longest FROM c GROUP BY lang"))
 def q11_chunk_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.chunk_documents(read(spark, sf_dir, "documents"), LINES, ["doc_id", "lang"])
+    made = chunking.chunk_documents(read(spark, sf_dir, "documents"), spaced_lines(), ["doc_id", "lang"])
     return relational.length_stats(made, F.char_length("text").cast("long"), ["lang"]).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT doc_id AS id, substr(md5(text), 1, 12) AS content_hash FROM documents UNION ALL SELECT conv_id * 1000 + turn, substr(md5(text), 1, 12) FROM conversations")
 def q12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), classify.fingerprint(TEXT).alias("content_hash"))
-    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), classify.fingerprint(TEXT).alias("content_hash"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), classify.fingerprint(text()).alias("content_hash"))
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), classify.fingerprint(text()).alias("content_hash"))
     return docs.union(turns)
 
 
 @query("SELECT doc_id, h AS content_hash FROM (SELECT doc_id, substr(md5(text), 1, 12) AS h, row_number() OVER (PARTITION BY substr(md5(text), 1, 12) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def q13_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", classify.fingerprint(TEXT).alias("content_hash"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", classify.fingerprint(text()).alias("content_hash"))
     return relational.keep_first(docs, F.col("content_hash"), F.col("doc_id"))
 
 
@@ -254,14 +263,14 @@ _PHRASES = [("Create", ["erth in", "de la"]), ("Evaluate", [r"(?:the|die) (?:an|
     + " ELSE 'Remember' END AS level FROM conversations WHERE role = 'user'"
 )
 def q17_classify_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", classify.classify_patterns(TEXT, _PHRASES).alias("level"))
+    return read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", classify.classify_patterns(text(), _PHRASES).alias("level"))
 
 
 @query("""
 SELECT doc_id, CASE WHEN length(trim(replace(text, chr(10), ' '))) < 20 THEN true WHEN lang = 'en' THEN (doc_id % 10) / 10.0 >= 0.5 ELSE false END AS keep,
        CAST(CASE WHEN length(trim(replace(text, chr(10), ' '))) < 20 THEN 1.0 WHEN lang = 'en' THEN (doc_id % 10) / 10.0 ELSE 0.0 END AS DOUBLE) AS conf FROM documents""")
 def q18_language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = quality.language_gate(TEXT, F.col("lang"), (F.col("doc_id") % 10) / F.lit(10.0), "en")
+    gate = quality.language_gate(text(), F.col("lang"), (F.col("doc_id") % 10) / F.lit(10.0), "en")
     return read(spark, sf_dir, "documents").select("doc_id", gate.alias("g")).select("doc_id", "g.keep", "g.conf")
 
 
@@ -282,7 +291,7 @@ def q19_answer_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 SELECT doc_id, nullif(regexp_extract(regexp_extract_all(regexp_replace(text, '({_LETTERS})', '\1\1', 'g'), '(?:^|{_LETTERS})[A-D](?:$|{_LETTERS})')[-1], '[A-D]'), '') AS answer FROM documents""")
 def q20_answer_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", parse.extract_answer(TEXT, "cot").alias("answer"))
+    return read(spark, sf_dir, "documents").select("doc_id", parse.extract_answer(text(), "cot").alias("answer"))
 
 
 @query("""
@@ -384,7 +393,7 @@ def q28_self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = read(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(spark.range(10).withColumnRenamed("id", "k")))
     v = (F.col("doc_id") * 31 + F.col("k") * F.col("k") * 7 + F.col("doc_id") % 5 * F.col("k")) % 5
     answered = paths.withColumn("text", F.concat(F.lit("so the answer is "), F.chr((F.lit(65) + v).cast("int"))))
-    votes = evaluate.majority_vote(answered, ["doc_id"], parse.extract_answer(TEXT, "self_consistency"), F.col("k"))
+    votes = evaluate.majority_vote(answered, ["doc_id"], parse.extract_answer(text(), "self_consistency"), F.col("k"))
     return votes.withColumn("agreement", F.round("agreement", 9))
 
 
@@ -437,7 +446,7 @@ SELECT conv_id, turn, md5('Level: ' || [{', '.join(repr(n) for n in LEVELS)}][tu
 def q32_prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.element_at(F.array(*(F.lit(n) for n in LEVELS)), (F.col("turn") % 6 + 1).cast("int"))
     answers = prompts.candidates(F.array(F.concat(F.lit("A. "), F.col("role")), F.lit("B. none")), "  ")
-    made = prompts.answer_prompt("standard", {"standard": _TEMPLATE}, level=level, context_block=prompts.context_block(TEXT, "with_context", "Context:"), question=F.col("role"), candidates=answers)
+    made = prompts.answer_prompt("standard", {"standard": _TEMPLATE}, level=level, context_block=prompts.context_block(text(), "with_context", "Context:"), question=F.col("role"), candidates=answers)
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(made).alias("prompt_md5"))
 
 
