@@ -46,3 +46,17 @@ def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; ``lower`` is much the faster of the two and does the same for texts of one byte a character."""
     translated = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(translated)
+
+
+def without(docs: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows that ``seen`` (doc_id, ``key``, kept) drops.
+
+    A row is named by its doc_id and ``key``, a digest of its text; of rows alike in both, one stays if one is kept.
+    """
+    stay = seen.where("kept").select("doc_id", key)
+    gone = seen.where("not kept").select("doc_id", key)
+    named = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a[key] == b[key])
+    repeated = gone.join(stay, named(gone, stay), "left_semi")
+    gone = gone.join(stay, named(gone, stay), "left_anti").distinct()
+    left = docs.join(gone.hint("merge"), named(docs, gone), "left_anti")  # one plan at every size: ids grow with the input
+    return left.dropDuplicates(["doc_id", key]) if repeated.limit(1).count() else left

@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels and pointer jumping."""
+"""Connected components of an edge table, by least neighbours, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -10,22 +10,30 @@ from tessera.llm.common import materialise
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, label) for every end of ``edges`` (a long, b long): the least node of its component.
+    """(node, label) for every end of ``edges`` (a long, b long): one node of its component, the same for all of it.
 
-    Each round takes the least label among neighbours (pre-aggregated) and then the label of the label, so a path halves
-    each round. Every round is written to the shared folder; only one count reaches the driver. Hubs are hot keys of plain
-    equi-joins, which adaptive execution splits.
+    Each round, every node takes its least neighbour for parent (pre-aggregated), and parents' parents follow by a jump; then
+    edges are contracted to their ends' parents, and loops and repeats go, so the edge table shrinks with every round.
+    Rounds are written to the shared folder; one emptiness test each reaches the driver. A hub is a hot key of plain
+    equi-joins on written tables, which adaptive execution splits.
     """
-    both = materialise(edges.where("a <> b").selectExpr("a", "b").union(edges.where("a <> b").selectExpr("b AS a", "a AS b")).distinct(), "edges")
-    at = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    left = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    at = None
     for _ in range(most_rounds):
-        near = both.join(at.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = materialise(at.join(near, at["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "lower")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = materialise(lower.join(jump, "label").select("node", "old", F.col("next").alias("label")), "labels")
-        at = after.select("node", "label")
-        if not after.where("label <> old").limit(1).count():
-            return at
+        if not left.limit(1).count():
+            return edges.sparkSession.createDataFrame([], "node long, label long") if at is None else at
+        near = left.union(left.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        parent = materialise(near.select("node", F.least("node", "m").alias("up")), "parents")
+        up = materialise(parent.join(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up")), "parents")
+        head, tail = (up.select(F.col("node").alias(c), F.col("up").alias(f"{c}2")) for c in ("a", "b"))
+        left = materialise(
+            left.join(head, "a").join(tail, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges"
+        )
+        if at is None:
+            at = up.select("node", F.col("up").alias("label"))
+        else:
+            moved = at.join(up.select(F.col("node").alias("label"), "up"), "label", "left")
+            at = materialise(moved.select("node", F.coalesce("up", "label").alias("label")), "labels")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

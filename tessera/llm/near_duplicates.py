@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, partitions, table, text_of
+from tessera.llm.common import materialise, partitions, table, text_of, without
 from tessera.llm.components import components, local_labels
 from tessera.llm.quality import powers
 
@@ -170,11 +170,15 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray,
     return out.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = 1e-6, bucket_block: int = 512, group_block: int = 768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size (documents), n_links (other documents at ``threshold`` or more)."""
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = 1e-6, bucket_block: int = 512, group_block: int = 768, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+    """One row per document: doc_id, class_id, class_size (documents), n_links (other documents at ``threshold`` or more).
+
+    ``with_kept`` adds text_md5 and kept: true for the row of least (doc_id, text_md5) in its class, null ids last.
+    """
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    told = rows.select("doc_id", "text", F.md5("text").alias("text_md5")) if with_kept else rows.select("doc_id", "text", F.lit("").alias("text_md5"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,10 +188,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
                 marks.append(digest(s))
                 sigs.append(signature(s).tobytes())
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "mark", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "text_md5", "mark", "n", "sig"])
 
-    every = materialise(rows.mapInArrow(sketch, "doc_id long, mark binary, n long, sig binary"), "sketches")
-    found = every.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    every = materialise(told.mapInArrow(sketch, "doc_id long, text_md5 string, mark binary, n long, sig binary"), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
+    found = every.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min(first).alias("first"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     classes = materialise(found.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # Buckets that two classes or more share, each set of members once.
@@ -221,6 +226,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
                         keep = surviving(sig, x, y, band[x], least)
                         got.append((x[keep], y[keep]))
                     waiting = []
+            if not got:  # lone members of a block
+                continue
             a, b = (np.concatenate(x) for x in zip(*got, strict=True))
             group = np.repeat(np.arange(len(at) - 1), np.diff(at))
             label = local_labels(t.num_rows, a, b)  # edges never leave a unit
@@ -234,7 +241,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
     joined = materialise(classes.select("cid", "mark", "rep", "size").join(groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")), "cid"), "members")
     counts = materialise(joined.groupBy("grp").agg(F.count("*").alias("cnt")), "groups")
     wanted = joined.join(counts, "grp").withColumn("blocks", F.ceil(F.col("cnt") / group_block).cast("int")).drop("cnt")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["rep"])).select("text", "mark", "cid", "size", "grp", "blocks")
+    texts = rows.join(wanted.hint("merge"), rows["doc_id"].eqNullSafe(wanted["rep"])).select("text", "mark", "cid", "size", "grp", "blocks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,22 +296,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
     if checked.where("kind = 2").limit(1).count():
         label = label.unionByName(components(checked.where("kind = 2").select("a", "b")).select(F.col("node").alias("cid"), F.col("label").alias("root")))
     links = checked.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
-    placed = classes.select("cid", "mark", "rep", "size").join(label, "cid", "left").join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    placed = classes.select("cid", "mark", "rep", "first", "size").join(label, "cid", "left").join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     placed = materialise(placed, "placed")
-    whole = placed.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("size").alias("class_size"))
-    final = materialise(placed.join(whole, "root").select("mark", "class_id", "class_size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "final")
-    return every.select("doc_id", "mark").join(final, "mark").select("doc_id", "class_id", "class_size", "n_links")
+    whole = placed.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("size").alias("class_size"), F.min("first").alias("keep"))
+    final = materialise(placed.join(whole, "root").select("mark", "class_id", "class_size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "keep"), "final")
+    kept = [F.col("text_md5"), (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_md5") == F.col("keep.text_md5"))).alias("kept")] if with_kept else []
+    return every.select("doc_id", "text_md5", "mark").join(final, "mark").select("doc_id", "class_id", "class_size", "n_links", *kept)
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, that of the least doc_id; same columns."""
-    seen = materialise(near_duplicates(docs, **options), "classes-of")
-    stay = seen.where("doc_id <=> class_id")
-    gone = seen.where("not (doc_id <=> class_id)").select("doc_id").distinct().join(stay.select("doc_id").distinct(), "doc_id", "left_anti")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    if stay.groupBy("class_id").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id"])  # repeated rows of one id
-    return left
+    seen = materialise(near_duplicates(docs, with_kept=True, **options).select("doc_id", F.col("text_md5").alias("__md5"), "kept"), "decisions")
+    # Rows alike in id and text are all marked kept: all but one are dropped.
+    seen = seen.unionByName(seen.groupBy("doc_id", "__md5").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "__md5", F.lit(False).alias("kept")))
+    return without(docs.withColumn("__md5", F.md5(text_of())), seen, "__md5").drop("__md5")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
