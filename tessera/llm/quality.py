@@ -139,7 +139,8 @@ def train(rows: DataFrame, epochs: int = 3, bits: int = BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype("<f8").tobytes()], pa.binary())], names=["w"])
 
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(1), "doc_id"), "doc_id", "text").select("y", "text")
-    return np.frombuffer(one.mapInArrow(run, "w binary").collect()[0]["w"], "<f8")
+    got = one.mapInArrow(run, "w binary").collect()
+    return np.frombuffer(got[0]["w"], "<f8") if got else np.zeros((1 << bits) + 1)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, per_class: int = 2000, epochs: int = 3) -> DataFrame:

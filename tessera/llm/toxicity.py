@@ -169,9 +169,10 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def seeds_of(sentences: list[tuple[str, int, int]], n_documents: list[int], least: int) -> list[str]:
-    """Words of ``least`` or more contexts and documents of toxic sentences, 10 times as usual there as in clean ones.
+    """Words of toxic sentences with ``least`` or more documents, words before and words after, 10 times as usual as in clean ones.
 
-    ``sentences`` are (text, label, document). A context is the pair of neighbours that differ from the word.
+    ``sentences`` are (text, label, document). A context is a pair of neighbours, both other than the word; words whose
+    contexts are fewer than half their documents come from copies of a text and are left out.
     """
     contexts: list[dict] = [defaultdict(set), defaultdict(set)]
     documents: list[dict] = [defaultdict(set), defaultdict(set)]
@@ -181,7 +182,11 @@ def seeds_of(sentences: list[tuple[str, int, int]], n_documents: list[int], leas
             if w not in (before, after):
                 contexts[y][w].add((before, after))
                 documents[y][w].add(doc)
-    found = {w: min(len(c), len(documents[1][w])) for w, c in contexts[1].items() if w}
+    found = {}
+    for w, c in contexts[1].items():
+        docs = len(documents[1][w])
+        if w and 2 * len(c) >= docs >= least <= min(len({x for x, _ in c}), len({x for _, x in c})):
+            found[w] = min(len(c), docs)
     usual = {w: (len(documents[0].get(w, ())) + 0.5) / n_documents[0] for w, n in found.items() if n >= least}
     found = {w: found[w] for w, u in usual.items() if found[w] / n_documents[1] >= 10 * u}
     return sorted(found, key=lambda w: (-found[w], w))
@@ -208,7 +213,7 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
                 if s.strip():
                     seen.setdefault(s, (y, i))
     sentences = [(s, *x) for s, x in seen.items()]
-    seeds = seeds_of(sentences, [len(clean), len(toxic)], 4 if len(toxic) >= 200 else 3)[:600]
+    seeds = seeds_of(sentences, [len(clean), len(toxic)], max(3, -(-len(toxic) // 100)))[:600]
     if not seeds:
         return flat, none
     rng = np.random.default_rng(7)
@@ -216,7 +221,7 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
     vocabulary = [vocabulary[i] for i in rng.permutation(len(vocabulary))]
     text = " ".join(vocabulary)
     positive = [*seeds, *(disguised(w, rng) for w in seeds for _ in range(3))]
-    negative, land_clean = vocabulary[:6000], vocabulary[:most_clean]
+    negative, land_clean = ["", *vocabulary[:6000]], vocabulary[:most_clean]  # a word of marks alone has no subsequence
     land_toxic = [seeds[i] for i in np.unique(np.linspace(0, len(seeds) - 1, min(most_seeds, len(seeds))).astype(int))]
     v = flat
     for _ in range(4):
@@ -228,6 +233,7 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
         x = kernel(positive + negative, landmarks) @ white
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         weight = np.r_[np.full(len(positive), len(negative) / len(positive) / 8), np.ones(len(negative))]
+        weight[len(positive)] = len(negative) / 20
         w = squared_hinge(x, y, np.maximum(weight, 0.05))
         beta, v, bias = white @ w[:-1], np.zeros(SYMBOLS**3), w[-1]
         for b, word in zip(beta, landmarks, strict=True):
@@ -236,7 +242,7 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
         v = v.astype(np.float32)
         scores = word_scores(encode(text), v)
         hard = [vocabulary[i] for i in np.argsort(-scores, kind="stable")[:400] if scores[i] + bias > -0.6]
-        negative = list(dict.fromkeys([*negative, *hard]))
+        negative = list(dict.fromkeys([*negative, *hard]))  # the empty word stays first
         land_clean = list(dict.fromkeys([*land_clean, *hard[:80]]))
     x = np.array([document_features(t, v, bias) for _, t in rows])
     target = np.array([y for y, _ in rows], float)
@@ -269,8 +275,8 @@ def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes()], pa.binary()), pa.array([curve.tolist()])], names=["v", "curve"])
 
     one = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("y", "text")
-    got = one.mapInArrow(run, "v binary, curve array<double>").collect()[0]
-    return np.frombuffer(got["v"], "<f4"), np.array(got["curve"])
+    got = one.mapInArrow(run, "v binary, curve array<double>").collect()
+    return (np.frombuffer(got[0]["v"], "<f4"), np.array(got[0]["curve"])) if got else fit([])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5, per_class: int = 2500) -> DataFrame:
