@@ -40,11 +40,13 @@ _LOADED: dict = {}
 class WordTokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes; equal to the tokenizer's own, with each word encoded once.
 
+    Two caches of ``cached_words`` bound the memory: when one is full it becomes the former one.
+
     The vocabulary drops white space and treats pre-tokenized words apart, so ids of a text are the ids of its words.
     Texts with other than Latin characters or with a special token's string are handed to the tokenizer whole.
     """
 
-    def __init__(self, path: str | None, cached_words: int = 800_000):
+    def __init__(self, path: str | None, cached_words: int = 150_000):
         from tokenizers import Tokenizer
 
         if path is None:
@@ -59,6 +61,7 @@ class WordTokenizer:
         self.most = cached_words
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict = {}
+        self.former: dict = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,9 +77,11 @@ class WordTokenizer:
         try:
             return b"".join([known[w] for w in found])
         except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            known.update({w: self.word(w) for w in {*found} if w not in known})
+            if len(known) > self.most:  # words used since come back from the former cache
+                self.former, self.words = known, {}
+                known = self.words
+            former = self.former
+            known.update({w: former.get(w) or self.word(w) for w in {*found} if w not in known})
             return b"".join([known[w] for w in found])
 
 
