@@ -5,8 +5,8 @@ logistic regression over the families and an unknown class, whose examples are s
 The unknown class is calibrated: its intercept is raised until half of the margin between the notices and the best unknown
 sentence, left out in turn by folds, lies on either side.
 
-Scan (DataFrame functions only): a paragraph is a line. A line with no content word of the vocabulary has the intercepts
-alone and is unknown; the others' n-grams meet the weights (a broadcast table as large as the fixed notices), are summed
+Scan (DataFrame functions only): a paragraph is a line. A line with no content word of the vocabulary, or with a single one
+whose gains can't reach the intercepts' lead, is unknown by arithmetic; the others' n-grams meet the weights (a broadcast table as large as the fixed notices), are summed
 per paragraph, and the softmax gives a family and its probability. A predicted family is confirmed where at least half of
 the word 3-grams of one of its notices, in whole or in one of its sentences, are in the paragraph.
 
@@ -99,6 +99,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: CC0-1.0",
     ),
     "Proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
         "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.",
     ),
@@ -173,6 +174,23 @@ def model() -> tuple[list[str], list[str], np.ndarray]:
     return families, vocabulary, w
 
 
+def strong_words() -> tuple[list[str], list[str]]:
+    """Content words, and those that could make a family with no other content word beside them.
+
+    A line of one content word has at most the n-grams whose only content word it is; where even all of their gains over
+    unknown stay under the intercepts' lead, the word alone is never enough.
+    """
+    _, vocabulary, w = model()
+    alone: dict[str, np.ndarray] = {}
+    for g, row in zip(vocabulary, w, strict=False):
+        words = {*g.split()} - PLAIN
+        if len(words) == 1:
+            gain = np.maximum(row[:-1] - row[-1], 0)
+            alone[min(words)] = alone.get(min(words), 0) + gain
+    content = sorted({t for g in vocabulary for t in g.split()} - PLAIN)
+    return content, sorted(t for t, gain in alone.items() if (gain + w[-1, :-1]).max() >= w[-1, -1])
+
+
 def templates() -> list[tuple[str, int, list[str]]]:
     """(family, number of 3-grams, 3-grams) of each notice and each of its sentences of three words or more."""
     found = []
@@ -189,16 +207,17 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     spark = docs.sparkSession
     families, vocabulary, w = model()
     k = len(families)
-    content = sorted({t for g in vocabulary for t in g.split()} - PLAIN)
+    content, strong = strong_words()
     words = lambda c: f"filter(split(lower({c}), r'{TOKEN}'), t -> t <> '')"
-    listed = ", ".join(f"'{t}'" for t in content)
-    lines = f"filter(transform(split(text, '\\n'), (l, i) -> named_struct('line', i, 'words', {words('l')})), x -> arrays_overlap(x.words, array({listed})))"
+    listed, sole = (f"CAST(array({', '.join(repr(t) for t in ts)}) AS ARRAY<STRING>)" for ts in (content, strong))
+    lines = f"filter(transform(split(text, '\\n'), (l, i) -> named_struct('line', i, 'words', {words('l')})), x -> size(array_intersect(x.words, {listed})) > 1 OR arrays_overlap(x.words, {sole}))"
     kept = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_of(text_col).alias("text"))
     kept = materialise(kept.select("doc_id", "rid", F.expr(lines).alias("lines")), "licence-lines")
     line = kept.select("rid", F.explode("lines").alias("x")).select("rid", "x.line", "x.words")
     each = ", ".join(f"transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" if n > 1 else "words" for n in NGRAMS)
     both = "array_distinct(concat(" + ", ".join(f"if(size(words) >= {n}, {e}, array())" for n, e in zip(NGRAMS, re.split(r", (?=transform\(seq)", each), strict=True)) + "))"
-    grams = line.select("rid", "line", F.explode(F.expr(both)).alias("gram"))
+    grams_of = lambda df: df.select("rid", "line", *("family" for c in df.columns if c == "family"), F.explode(F.expr(both)).alias("gram"))
+    grams = grams_of(line)
     shown = [(g, [float(v) for v in w[i]]) for i, g in enumerate(vocabulary) if np.abs(w[i]).max() > 1e-6]
     weights = spark.createDataFrame(shown, "gram string, w array<double>")  # as long as the fixed notices
     sums = grams.join(F.broadcast(weights), "gram").groupBy("rid", "line").agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
@@ -210,7 +229,7 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     # Template comparison: shares of a notice's 3-grams.
     known = [(f, i, n, g) for i, (f, n, gs) in enumerate(templates()) for g in gs]
     notes = spark.createDataFrame(known, "family string, notice int, n int, gram string")
-    shared = grams.join(predicted.select("rid", "line", "family"), ["rid", "line"]).join(F.broadcast(notes), ["family", "gram"])
+    shared = grams_of(line.join(predicted.select("rid", "line", "family"), ["rid", "line"])).join(F.broadcast(notes), ["family", "gram"])
     likeness = shared.groupBy("rid", "line", "notice", "n").agg(F.count("*").alias("c")).groupBy("rid", "line").agg(F.max(F.col("c") / F.col("n")).alias("likeness"))
     hits = predicted.join(likeness, ["rid", "line"], "left").withColumn("likeness", F.round(F.coalesce("likeness", F.lit(0.0)), 6))
     return kept.select("rid", "doc_id"), hits.withColumn("confirmed", F.col("likeness") >= confirm)
