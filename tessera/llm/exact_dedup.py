@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialise, table, text_of
+from tessera.llm.common import ascii_lower, materialise, table, text_of, without
 
 #: A cut falls after a word end whose last letters are in these classes: about one word end in twenty.
 CUT = r"[aeioà-ſ][lnrst][\s]"
@@ -59,23 +59,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "recipes",
     )
     groups = base.groupBy("recipe").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size"))
-    return base.join(groups, "recipe").select(
+    # Written, so that the join is of two plain exchanges, whose hot keys are split.
+    several = materialise(groups.where("group_size > 1"), "copies")
+    alone = F.col("keep").isNull()
+    return base.join(several, "recipe", "left").select(
         "doc_id",
-        F.col("keep.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("rid") == F.col("keep.rid")).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("rid") == F.col("keep.rid"))).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact deduplication drops; same columns."""
-    seen = materialise(exact_dedup(docs).select("doc_id", "keep_id", "kept"), "decisions")
-    gone = seen.where("not kept and not (doc_id <=> keep_id)").select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    if seen.where("not kept and doc_id <=> keep_id").limit(1).count():
-        left = left.dropDuplicates(["doc_id"])  # repeated rows of one id and one text
-    return left
+    seen = materialise(exact_dedup(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "decisions")
+    keyed = docs.withColumn("__sha", F.sha2(ascii_lower(text_of()), 256))
+    return without(keyed, seen.select("doc_id", F.col("text_sha256").alias("__sha"), "kept"), "__sha").drop("__sha")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
