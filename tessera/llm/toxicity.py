@@ -5,9 +5,8 @@ power of the span it takes (at most ``SPAN``), word ends being symbols too. So a
 stays near itself. It is normalised by each word's weight for its length.
 
 Training takes a bounded sample: at most ``per_class`` labelled rows of each label, by hash of doc_id, none held out.
-1. Sentences, each counted once, carry their document's label. Words seen in several contexts (pairs of neighbours) of
-   toxic sentences and hardly in clean ones are seeds; a sentence with a seed is a toxic one, sentences of clean documents
-   are clean. Seeds also come with characters put in.
+1. Sentences carry their document's label; one that a clean document has is clean. Words of three or more toxic texts (copies
+   of a text count once) and hardly of clean ones are seeds. Seeds also come with characters put in.
 2. Landmarks are seeds, and words of clean sentences; the kernel to them, whitened, is a word's Nystroem vector.
 3. A squared-hinge SVM is fitted by Newton steps; clean words that score highest become examples and landmarks, three times.
 4. A document's score pools its words': the two highest, and how many of how many words are in the SVM's positive half,
@@ -23,6 +22,7 @@ kinds every score is 0. Repeated rows are scored each. An empty table gives no r
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -168,27 +168,48 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def seeds_of(sentences: list[tuple[str, int, int]], n_documents: list[int], least: int) -> list[str]:
-    """Words of toxic sentences with ``least`` or more documents, words before and words after, 10 times as usual as in clean ones.
+def originals(texts: list[str]) -> list[int]:
+    """For each text the place of the first one it copies, or its own: a copy has more than half its runs of three words in an earlier text."""
+    first: dict[tuple, list[int]] = defaultdict(list)
+    found = []
+    for i, t in enumerate(texts):
+        words = [w.strip(STRIP).lower() for w in WORD.findall(t)]
+        runs = {*zip(words, words[1:], words[2:], strict=False)} or {tuple(words)}
+        shared: dict[int, int] = defaultdict(int)
+        for r in runs:
+            for j in first.get(r, ()):
+                shared[j] += 1
+        j = max(shared, key=lambda j: (shared[j], -j), default=i)
+        if 2 * shared.get(j, 0) > len(runs):
+            found.append(j)
+            continue
+        found.append(i)
+        for r in runs:
+            if len(first[r]) < 64:  # a run in more texts tells none of them from the others
+                first[r].append(i)
+    return found
+
+
+def chance(n: int, c: int, share: float) -> float:
+    """How likely ``n`` or more of ``n + c`` texts are toxic ones, where a word tells nothing and ``share`` of the texts are toxic."""
+    return sum(math.exp(math.lgamma(n + c + 1) - math.lgamma(k + 1) - math.lgamma(n + c - k + 1) + k * math.log(share) + (n + c - k) * math.log1p(-share)) for k in range(n, n + c + 1))
+
+
+def seeds_of(sentences: list[tuple[str, int, int]], n_documents: list[int], least: int = 3, luck: float = 1e-3) -> list[str]:
+    """Words in sentences of ``least`` or more toxic texts, 10 times as usual there as in clean ones, and not by luck.
 
-    ``sentences`` are (text, label, document). A context is a pair of neighbours, both other than the word; words whose
-    contexts are fewer than half their documents come from copies of a text and are left out.
+    ``sentences`` are (text, label, text's place); copies of a text have one place, so that they count once. Neither ``least``
+    nor ``luck`` depends on the sample's size.
     """
-    contexts: list[dict] = [defaultdict(set), defaultdict(set)]
     documents: list[dict] = [defaultdict(set), defaultdict(set)]
     for s, y, doc in sentences:
-        words = [w.strip(STRIP).lower() for w in WORD.findall(s)]
-        for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-            if w not in (before, after):
-                contexts[y][w].add((before, after))
-                documents[y][w].add(doc)
-    found = {}
-    for w, c in contexts[1].items():
-        docs = len(documents[1][w])
-        if w and 2 * len(c) >= docs >= least <= min(len({x for x, _ in c}), len({x for _, x in c})):
-            found[w] = min(len(c), docs)
-    usual = {w: (len(documents[0].get(w, ())) + 0.5) / n_documents[0] for w, n in found.items() if n >= least}
-    found = {w: found[w] for w, u in usual.items() if found[w] / n_documents[1] >= 10 * u}
+        for w in {w.strip(STRIP).lower() for w in WORD.findall(s)} - {""}:
+            documents[y][w].add(doc)
+    found, share = {}, n_documents[1] / sum(n_documents)
+    for w, docs in documents[1].items():
+        n, c = len(docs), len(documents[0].get(w, ()))
+        if n >= least and n / n_documents[1] >= 10 * (c + 0.5) / n_documents[0] and chance(n, c, share) <= luck:
+            found[w] = n
     return sorted(found, key=lambda w: (-found[w], w))
 
 
@@ -206,14 +227,11 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
     toxic, clean = ([t for y, t in rows if y == k] for k in (1, 0))
     if not toxic or not clean:
         return flat, none
-    seen: dict[str, tuple[int, int]] = {}  # each sentence once, a clean one if any clean document has it
-    for y, texts in ((0, clean), (1, toxic)):
-        for i, t in enumerate(texts):
-            for s in SENTENCE.split(t):
-                if s.strip():
-                    seen.setdefault(s, (y, i))
-    sentences = [(s, *x) for s, x in seen.items()]
-    seeds = seeds_of(sentences, [len(clean), len(toxic)], max(3, -(-len(toxic) // 100)))[:600]
+    usual = {s for t in clean for s in SENTENCE.split(t)}  # a sentence is a clean one if any clean document has it
+    sentences = [(s, 0, i) for i, t in enumerate(clean) for s in {*SENTENCE.split(t)}]
+    places = originals(toxic)
+    sentences += [(s, 1, i) for i, t in zip(places, toxic, strict=True) for s in {*SENTENCE.split(t)} - usual]
+    seeds = seeds_of(sentences, [len(clean), len({*places})])[:600]
     if not seeds:
         return flat, none
     rng = np.random.default_rng(7)

@@ -234,3 +234,19 @@ def test_string_kernel_is_the_table():
     assert np.allclose(got, toxicity.kernel(words, landmarks) @ beta, atol=1e-4)
     k = toxicity.kernel(["i.d.iot", "idxiot", "table"], ["idiot"])[:, 0]
     assert k[0] > 3 * k[2] and k[1] > 3 * k[2]
+
+
+def test_toxic_seeds():
+    """A rare insult, and one in a fixed phrase, are seeds at every sample size; words of copies are not."""
+    rng = random.Random(5)
+    prose = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(12)) + "."
+    clean = [" ".join(prose() for _ in range(3)) for _ in range(1500)]
+    copied = prose() + " zebra crossing. " + prose()
+    toxic = [f"{prose()} {x} {prose()}" for x in ["Shut up you moron."] * 40 + ["a scumbag b."] * 12 + ["you idiot " + "x."] * 1300] + [copied + f" w{i}." for i in range(40)]
+    for n in (len(toxic), 92):
+        some = toxic[:52] + toxic[-40:] if n == 92 else toxic
+        places = toxicity.originals(some)
+        assert len({*places[-40:]}) == 1 and len({*places}) == len(some) - 39
+        rows = [(s, 0, i) for i, t in enumerate(clean) for s in toxicity.SENTENCE.split(t)] + [(s, 1, i) for i, t in zip(places, some, strict=True) for s in toxicity.SENTENCE.split(t)]
+        seeds = toxicity.seeds_of(rows, [len(clean), len({*places})])
+        assert {"moron", "scumbag"} <= {*seeds} and not {"zebra", "crossing"} & {*seeds}
