@@ -9,12 +9,18 @@ Training takes a bounded sample: at most ``per_class`` labelled rows of each lab
    of a text count once) and hardly of clean ones are seeds. Seeds also come with characters put in.
 2. Landmarks are seeds, and words of clean sentences; the kernel to them, whitened, is a word's Nystroem vector.
 3. A squared-hinge SVM is fitted by Newton steps; clean words that score highest become examples and landmarks, three times.
-4. A document's score pools its words': the two highest, and how many of how many words are in the SVM's positive half,
-   through a logistic curve fitted on the sample.
+4. A second squared-hinge SVM is fitted on the labelled sentences themselves, in stretches of at most ``STRETCH`` words. Its
+   kernel counts common subsequences of one or two words, at most ``REACH`` words apart, so insults made of usual words are
+   learned. Its features are explicit (hashed to ``2**BITS`` places), so it needs no landmarks. All stretches of toxic
+   documents that no clean one has are toxic at first; then those that score above 0 by a model of other documents, and the
+   highest of each document, so every labelled document keeps an example.
+5. A document's score pools its words' (the two highest, and how many of how many are in the first SVM's positive half) and
+   its highest stretch, through a logistic curve fitted on all rows of the sample; their stretches are scored by models of
+   other documents. Without seeds the first SVM is zero, and the second alone decides.
 
 The decision is a weighted sum of kernels to landmarks, and the kernel a dot product of subsequence counts, so the landmarks
-collapse into one weight for each of 64**3 subsequences: a table of 1 MB, broadcast. Every character of every text is
-scored with it in numpy, without a shuffle. Runs of single characters between spaces are read as a word as well.
+collapse into one weight for each of 64**3 subsequences: a table of 1 MB, broadcast with another 1 MB of the sentence SVM.
+Every character and word of every text is scored with them in numpy, without a shuffle. Runs of single characters between spaces are read as a word as well.
 
 Cases: null text counts as empty; a text without words scores lowest. Null ids are never trained on. Without labels of both
 kinds every score is 0. Repeated rows are scored each. An empty table gives no rows. Extra columns are never read.
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
-from tessera.llm.quality import held_out, sample
+from tessera.llm.quality import held_out, mixed, powers, sample
 
 SPAN, DECAY, SYMBOLS = 5, 0.7, 64
 EDGE, SKIP, OTHER = 0, 1, 63
@@ -43,6 +49,8 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëçàâîïôûùñáíóú
 GAPS = [(i, j) for i in range(1, SPAN) for j in range(i + 1, SPAN)]
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]){2,}[^\W\d_](?!\S)")
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n+")
+BITS, REACH, STRETCH = 18, 3, 32
+U = np.uint64
 WORD = re.compile(r"\S+")
 STRIP = ".,;:!?\"'()[]{}<>|*$%&#"
 
@@ -117,9 +125,131 @@ def document_features(text: str, v: np.ndarray, bias: float) -> np.ndarray:
     return np.array([top[-1], top[0], np.log1p((scores > 0).sum()), np.log1p(len(scores))])
 
 
+WORD_BYTE = np.zeros(256, bool)
+WORD_BYTE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def stretches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of word subsequences, their normalised weights and the stretch of each, stretches ascending from 0.
+
+    A sentence's pairs of words belong to the stretch of the first word.
+    """
+    b = np.frombuffer(f"{text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
+    word = WORD_BYTE[b]
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, U), np.zeros(0), np.zeros(0, np.int64)
+    up, down = powers(len(b) + 1)
+    total = np.r_[U(0), np.cumsum((b + U(1)) * up[: len(b)], dtype=U)]
+    words = mixed((total[ends] - total[starts]) * down[starts])
+    stop = (b == 10) | (((b == 46) | (b == 33) | (b == 63)) & np.r_[b[1:] <= 32, True])
+    sentence = np.cumsum(stop)[starts]
+    first = np.r_[True, sentence[1:] != sentence[:-1]]
+    here = np.arange(len(words))
+    inside = here - np.maximum.accumulate(np.where(first, here, 0))
+    of = np.cumsum(inside % STRETCH == 0) - 1
+    keys, weights, owner = [words], [np.ones(len(words))], [of]
+    for gap in range(1, REACH + 1):
+        same = sentence[:-gap] == sentence[gap:]
+        keys.append((words[:-gap] * U(31) + words[gap:] * U(37) + U(7))[same])
+        weights.append(np.full(int(same.sum()), DECAY ** (gap - 1)))
+        owner.append(of[:-gap][same])
+    key, x, at = np.concatenate(keys), np.concatenate(weights), np.concatenate(owner)
+    order = np.argsort(at, kind="stable")
+    key, x, at = key[order], x[order], at[order]
+    return mixed(key), x / np.sqrt(np.bincount(at, x * x))[at], at
+
+
+def highest_stretch(text: str, u: np.ndarray) -> float:
+    """The sentence SVM's score of a text's most toxic stretch; that of a text without words is the intercept's."""
+    key, x, at = stretches(text)
+    return float(u[-1] + (np.bincount(at, x * u[(key >> U(64 - BITS)).astype(np.int64)]).max() if len(at) else 0.0))
+
+
 # --- training, in one task over the sample ---
 
 
+class Sentences:
+    """Stretches of the sample, each text's once, and the SVM over them."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        keys, xs, units, self.doc, signs = [], [], [], [], []
+        n = 0
+        for i, (_, t) in enumerate(rows):
+            key, x, at = stretches(t)
+            if len(at):
+                m = int(at[-1]) + 1
+                signs.append(np.add.reduceat(key, np.flatnonzero(np.r_[True, at[1:] != at[:-1]])))
+                keys.append((key >> U(64 - BITS)).astype(np.int32))
+                xs.append(x.astype(np.float32))
+                units.append(at + n)
+                self.doc.append(np.full(m, i))
+                n += m
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.key, self.x, unit, self.doc, sign = join(keys, np.int32), join(xs, np.float32), join(units, np.int64), join(self.doc, np.int64), join(signs, U)
+        self.ends = np.r_[0, np.cumsum(np.bincount(unit, minlength=n))].astype(np.int64)
+        self.y = np.array([y for y, _ in rows])[self.doc] if n else np.zeros(0, np.int64)
+        self.usable = (self.y == 0) | ~np.isin(sign, sign[self.y == 0])
+
+    def picked(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the units' entries, and the entries' unit in ``units``."""
+        n = self.ends[units + 1] - self.ends[units]
+        of = np.repeat(np.arange(len(units)), n)
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.ends[units][of], of
+
+    def scores(self, u: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(u[self.key] * self.x, self.ends[:-1]) + u[-1] if len(self.doc) else np.zeros(0)
+
+    def learn(self, units: np.ndarray, weight: np.ndarray, epochs: int = 3, batch: int = 512, alpha: float = 1.0, l1: float = 0.5, l2: float = 0.01) -> np.ndarray:
+        """Weights by proximal steps with a rate for each place, the intercept last; squared hinge, mean weight one."""
+        z, n, rng = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.random.default_rng(3)
+        limit = np.r_[np.full(1 << BITS, l1), 0.0]
+        weights = lambda at: np.where(np.abs(z[at]) <= limit[at], 0.0, -(z[at] - np.sign(z[at]) * limit[at]) / ((0.1 + np.sqrt(n[at])) / alpha + l2))
+        if not len(units):
+            return np.zeros((1 << BITS) + 1)
+        weight, target = weight / weight.mean(), np.where(self.y[units] == 1, 1.0, -1.0)
+        for _ in range(epochs):
+            order = rng.permutation(len(units))
+            for lo in range(0, len(units), batch):
+                some = order[lo : lo + batch]
+                entry, of = self.picked(units[some])
+                at, place = np.unique(np.r_[self.key[entry], 1 << BITS], return_inverse=True)
+                w, x = weights(at), self.x[entry]
+                lack = np.maximum(0, 1 - target[some] * (np.bincount(of, w[place[:-1]] * x, minlength=len(some)) + w[-1]))
+                pull = -weight[some] * target[some] * lack
+                g = np.bincount(place, np.r_[pull[of] * x, pull.sum()], minlength=len(at))
+                z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
+                n[at] += g * g
+        return weights(np.arange(len(z)))
+
+    def fit(self, folds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of all documents' sentences, and each stretch's score by a model of other documents."""
+        fold = self.doc % folds
+        toxic = np.flatnonzero((self.y == 1) & self.usable)
+        clean = np.flatnonzero(self.y == 0)
+        weight = np.ones(len(self.doc))
+        if len(toxic):
+            weight[toxic] = 1 / np.bincount(self.doc[toxic])[self.doc[toxic]]  # documents weigh alike
+        model, others = np.zeros((1 << BITS) + 1), np.zeros(len(self.doc))
+        for again in (False, True):
+            taken = toxic
+            if again and len(toxic):
+                best = np.full(int(self.doc.max()) + 1, -np.inf)
+                np.maximum.at(best, self.doc[toxic], others[toxic])
+                taken = toxic[(others[toxic] > 0) | (others[toxic] >= best[self.doc[toxic]])]
+                weight[taken] = 1 / np.bincount(self.doc[taken])[self.doc[taken]]
+            scale = len(clean) / weight[taken].sum() / 4 if len(taken) else 1.0
+            full = np.r_[taken, clean]
+            w = np.r_[weight[taken] * scale, np.ones(len(clean))]
+            for f in range(folds):
+                mine = fold[full] != f
+                others[fold == f] = self.scores(self.learn(full[mine], w[mine]))[fold == f]
+            if again:
+                model = self.learn(full, w)
+        return model, others
+
+
 def phi(word: str) -> tuple[np.ndarray, np.ndarray]:
     """Subsequences of a word and their normalised weights."""
     c = encode(word).astype(np.int64)
@@ -221,19 +351,31 @@ def disguised(word: str, rng: np.random.Generator) -> str:
     return "".join(s)
 
 
-def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 160) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequence weights, and the SVM's intercept before the logistic curve's weights, from labelled texts."""
-    flat, none = np.zeros(SYMBOLS**3, np.float32), np.array([0.0, 0, 0, 0, 0, -50])
+def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 160) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subsequence weights, the SVM's intercept before the logistic curve's weights, and the sentence SVM's weights, from labelled texts."""
+    flat, none, zero = np.zeros(SYMBOLS**3, np.float32), np.array([0.0, 0, 0, 0, 0, 0, -50]), np.zeros((1 << BITS) + 1, np.float32)
     toxic, clean = ([t for y, t in rows if y == k] for k in (1, 0))
     if not toxic or not clean:
-        return flat, none
+        return flat, none, zero
     usual = {s for t in clean for s in SENTENCE.split(t)}  # a sentence is a clean one if any clean document has it
     sentences = [(s, 0, i) for i, t in enumerate(clean) for s in {*SENTENCE.split(t)}]
     places = originals(toxic)
     sentences += [(s, 1, i) for i, t in zip(places, toxic, strict=True) for s in {*SENTENCE.split(t)} - usual]
     seeds = seeds_of(sentences, [len(clean), len({*places})])[:600]
-    if not seeds:
-        return flat, none
+    v, bias = fit_words(seeds, sentences, most_seeds, most_clean) if seeds else (flat, -1.0)
+    held = Sentences(rows)
+    u, others = held.fit()
+    top = np.full(len(rows), u[-1], float)
+    if len(held.doc):
+        best = np.full(len(rows), -np.inf)
+        np.maximum.at(best, held.doc, others)
+        top = np.where(np.isfinite(best), best, top)
+    x = np.c_[[document_features(t, v, bias) for _, t in rows], top]
+    return v, np.r_[bias, logistic(x, np.array([y for y, _ in rows], float))], u.astype(np.float32)
+
+
+def fit_words(seeds: list[str], sentences: list[tuple[str, int, int]], most_seeds: int, most_clean: int) -> tuple[np.ndarray, float]:
+    """Subsequence weights and intercept of the SVM over words."""
     rng = np.random.default_rng(7)
     vocabulary = sorted({w.strip(STRIP).lower() for s, y, _ in sentences if y == 0 for w in WORD.findall(s)} - {""})
     vocabulary = [vocabulary[i] for i in rng.permutation(len(vocabulary))]
@@ -241,7 +383,6 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
     positive = [*seeds, *(disguised(w, rng) for w in seeds for _ in range(3))]
     negative, land_clean = ["", *vocabulary[:6000]], vocabulary[:most_clean]  # a word of marks alone has no subsequence
     land_toxic = [seeds[i] for i in np.unique(np.linspace(0, len(seeds) - 1, min(most_seeds, len(seeds))).astype(int))]
-    v = flat
     for _ in range(4):
         landmarks = land_toxic + land_clean
         k = kernel(landmarks, landmarks).astype(float)
@@ -262,10 +403,7 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
         hard = [vocabulary[i] for i in np.argsort(-scores, kind="stable")[:400] if scores[i] + bias > -0.6]
         negative = list(dict.fromkeys([*negative, *hard]))  # the empty word stays first
         land_clean = list(dict.fromkeys([*land_clean, *hard[:80]]))
-    x = np.array([document_features(t, v, bias) for _, t in rows])
-    target = np.array([y for y, _ in rows], float)
-    known = np.array([y == 0 or any(w in t.lower() for w in seeds) for y, t in rows])
-    return v, np.r_[bias, logistic(x[known], target[known])]
+    return v, float(bias)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 2e-3) -> np.ndarray:
@@ -274,7 +412,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 2e-3)
     z = np.c_[(x - middle) / scale, np.ones(len(x))]
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     if not n.all():
-        return np.array([0.0, 0, 0, 0, -50])
+        return np.r_[np.zeros(x.shape[1]), -50.0]
     target, weight, w = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2)), 1 / n[y.astype(int)], np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
@@ -283,18 +421,18 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 2e-3)
     return np.r_[w[:-1] / scale, w[-1] - (w[:-1] * middle / scale).sum()]
 
 
-def logit(text: str, v: np.ndarray, curve: np.ndarray) -> float:
-    return float(document_features(text, v, curve[0]) @ curve[1:-1] + curve[-1])
+def logit(text: str, v: np.ndarray, curve: np.ndarray, u: np.ndarray) -> float:
+    return float(document_features(text, v, curve[0]) @ curve[1:-2] + highest_stretch(text, u) * curve[-2] + curve[-1])
 
 
-def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def train(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, curve = fit([x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes()], pa.binary()), pa.array([curve.tolist()])], names=["v", "curve"])
+        v, curve, u = fit([x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([*(pa.array([w.astype("<f4").tobytes()], pa.binary()) for w in (v, u)), pa.array([curve.tolist()])], names=["v", "u", "curve"])
 
     one = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("y", "text")
-    got = one.mapInArrow(run, "v binary, curve array<double>").collect()
-    return (np.frombuffer(got[0]["v"], "<f4"), np.array(got[0]["curve"])) if got else fit([])
+    got = one.mapInArrow(run, "v binary, u binary, curve array<double>").collect()
+    return (np.frombuffer(got[0]["v"], "<f4"), np.array(got[0]["curve"]), np.frombuffer(got[0]["u"], "<f4")) if got else fit([])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5, per_class: int = 2500) -> DataFrame:
@@ -302,9 +440,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.5, per_c
     model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, labels, "toxic", per_class)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, curve = model.value
+        v, curve, u = model.value
         for b in batches:
-            scores = 1 / (1 + np.exp(-np.clip([logit(t.as_py(), v, curve) for t in b.column(2)], -50, 50)))
+            scores = 1 / (1 + np.exp(-np.clip([logit(t.as_py(), v, curve, u) for t in b.column(2)], -50, 50)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array((scores >= least).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))

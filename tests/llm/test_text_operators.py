@@ -250,3 +250,22 @@ def test_toxic_seeds():
         rows = [(s, 0, i) for i, t in enumerate(clean) for s in toxicity.SENTENCE.split(t)] + [(s, 1, i) for i, t in zip(places, some, strict=True) for s in toxicity.SENTENCE.split(t)]
         seeds = toxicity.seeds_of(rows, [len(clean), len({*places})])
         assert {"moron", "scumbag"} <= {*seeds} and not {"zebra", "crossing"} & {*seeds}
+
+
+def test_toxic_sentences():
+    """Insults of usual words, which no single word tells, are learned from the labelled sentences; all rows are in the curve's fit."""
+    rng = random.Random(8)
+
+    def text(*more):
+        parts = [" ".join(f"w{rng.randrange(300)}" for _ in range(9)) for _ in range(4)] + list(more)
+        rng.shuffle(parts)
+        return ". ".join(parts) + "."
+
+    said = ["go home", "hurt the wall", "yourself", "w1 go w2", "do not hurt w5", "see for yourself w3", "go w4 and hurt", "w7 yourself go"]
+    rows = [(0, text(*rng.sample(said, 3))) for _ in range(400)] + [(1, text(f"w{rng.randrange(300)} go hurt yourself", "go w8 home")) for _ in range(120)]
+    v, curve, u = toxicity.fit(rows)
+    assert not v.any() and u.any()
+    fresh = [(0, text(*rng.sample(said, 3))) for _ in range(200)] + [(1, text(rng.choice(said), "go hurt yourself w2")) for _ in range(100)]
+    got = [toxicity.logit(t, v, curve, u) > 0 for _, t in fresh]
+    assert sum(got[200:]) >= 90 and sum(got[:200]) <= 10, (sum(got[:200]), sum(got[200:]))
+    assert len(toxicity.fit([])) == len(toxicity.fit([(1, ""), (0, "")])) == 3
