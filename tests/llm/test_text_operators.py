@@ -269,3 +269,16 @@ def test_toxic_sentences():
     got = [toxicity.logit(t, v, curve, u) > 0 for _, t in fresh]
     assert sum(got[200:]) >= 90 and sum(got[:200]) <= 10, (sum(got[:200]), sum(got[200:]))
     assert len(toxicity.fit([])) == len(toxicity.fit([(1, ""), (0, "")])) == 3
+
+
+def test_secret_runs():
+    """Every candidate has full windows, and each class is read over its own runs."""
+    for text, secret in [
+        ("pw=q8Zr2Lk9Xw4Tn7Vb1Mc6", "q8Zr2Lk9Xw4Tn7Vb1Mc6"), ("see Xq3-vB9_kL2mN8pQrS4tU7 there", "Xq3-vB9_kL2mN8pQrS4tU7"),
+        ("KEY=8F3A0C7E5B1D9264FA3C0E7B", "8F3A0C7E5B1D9264FA3C0E7B"), ("a_very/long-path/to/q8Zr2Lk9Xw4Tn7Vb1Mc6", "q8Zr2Lk9Xw4Tn7Vb1Mc6"),
+    ]:
+        covered = {i for lo, k, hi in secrets.scan(text) if k > 2 for i in range(lo, hi)}
+        at = text.index(secret)
+        assert {*range(at, at + len(secret))} <= covered, text
+    for text in ["id=123e4567-e89b-12d3-a456-426614174000", "x-da39a3ee5e6b4b0d3255bfef95601890afd80709", "2024-01-02/03-04-05-06-07-08", "a" * 30 + "=1"]:
+        assert not [x for x in secrets.scan(text) if x[1] > 2], text
