@@ -2,14 +2,15 @@
 
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` applies them to the
 documents, each stage's rows written as Parquet in the shared folder and read again as the next one's ``docs``. All stages
-but the last return the columns of ``docs``. The mixture's order is the order of the written files, in which packing reads.
+but the last return the columns of ``docs``. The mixture's order is that of the written files by name and of the rows in them;
+Spark reads files by size, so packing takes its rows by file and place again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import in_file_order, materialise, table
 from tessera.llm.exact_dedup import drop_exact_copies
 from tessera.llm.mixing import mix_rows
 from tessera.llm.near_duplicates import keep_one_of_each
@@ -38,8 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
-    return pack(docs)
+    """Pieces of documents in sequences of at most 4096 tokens; tasks, and so sequence ids, rise with the order of the files."""
+    return pack(in_file_order(docs.select("doc_id", "text")))
 
 
 STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixture", mixture), ("packing", packing)]

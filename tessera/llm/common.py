@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Rows of a table of Spark's Parquet files by the files' numbers and the place in the file, over ascending tasks; any other table as it is."""
+    path = F.col("_metadata.file_path")
+    try:
+        placed = df.select("*", F.regexp_extract(path, r"part-(\d+)[^/]*$", 1).try_cast("long").alias("__file"), path.alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # not read from files
+        return df
+    place = ("__file", "__path", "__row")
+    return placed.repartitionByRange(partitions(df.sparkSession), *place).sortWithinPartitions(*place).drop(*place)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; ``lower`` is much the faster of the two and does the same for texts of one byte a character."""
     translated = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -161,3 +161,26 @@ def test_stages_on_odd_rows(spark, tricky, empty):
             out = stage(spark, docs, SF)
             assert name == "packing" or out.columns == docs.columns
             assert out.count() <= max(len(TRICKY), 2000)
+
+
+def test_packing_keeps_the_mixture(spark, tmp_path):
+    """Sequences rise with the mixture though its files differ in size, by which Spark deals them."""
+    rows = [(i, "word " * (1 + (i * 7919) % 40) ** 2, f"s{i % 3}" if i < 300 else "hot") for i in range(900)]
+    docs = table(spark, rows)
+    corpus_pipeline.mixture(spark, docs, SF).write.parquet(str(tmp_path / "m"))
+    at = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
+    tasks = defaultdict(set)
+    for r in corpus_pipeline.packing(spark, spark.read.parquet(str(tmp_path / "m")), SF).collect():
+        tasks[r.sequence_id >> 33].add(at[r.doc_id])
+    spans = [(min(tasks[t]), max(tasks[t])) for t in sorted(tasks)]
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)), spans
+    sized = tmp_path / "sized"
+    for i, n in enumerate([5, 40, 300, 20, 200, 10, 100, 400]):
+        table(spark, [(1000 * i + j, "x y z " * 30) for j in range(n)], 1).sort("doc_id").coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+        sized.mkdir(exist_ok=True)
+        next((tmp_path / f"f{i}").glob("*.parquet")).rename(sized / f"part-{i:05d}-x.parquet")
+    tasks = defaultdict(set)
+    for r in corpus_pipeline.packing(spark, spark.read.parquet(str(sized)), SF).collect():
+        tasks[r.sequence_id >> 33].add(r.doc_id)
+    spans = [(min(tasks[t]), max(tasks[t])) for t in sorted(tasks)]
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)), spans
