@@ -11,8 +11,9 @@ Nothing is dropped or repeated. Where a source ends before the others, its slots
 up to the first such end, for which the bound holds.
 
 Scale: a source's ranks are counted in hash ranges of about ``range_rows`` documents, and offsets of ranges are summed, so a
-source with a third of all rows is many tasks' work. Broadcast are the cycle's slots: ``cycle`` rows, a parameter. Sources
-must number no more than ``cycle``. Positions are counted in stretches of slots in the same way.
+source with a third of all rows is many tasks' work. Broadcast are the cycle's slots: ``cycle`` rows, by default the
+least multiple of 1,024 that has a slot for each source; a given one must be no less than their number. The fold over a cycle
+is work of sources times slots in one task. Positions are counted in stretches of slots in the same way.
 
 Cases: a null source is a source of its own. Null ids are shuffled by row. Repeated ids are rows of their own (their order
 follows the input's). Sources without a given weight get the least, one share. An empty table gives no rows. Extra columns
@@ -60,10 +61,10 @@ def schedule(weights: DataFrame, cycle: int) -> DataFrame:
     return planned.selectExpr("s[p.i].source AS source", "s[p.i].w AS w", "p.turn AS turn", "slot")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, cycle: int = 1024, block_rows: int = 16, range_rows: int = 2048, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, cycle: int | None = None, block_rows: int = 16, range_rows: int = 2048, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, weight (of ``cycle``), block, slot, place, position, balanced.
 
-    ``weights`` are target weights by source; None takes each source's count to the power ``temperature``.
+    ``cycle`` None is the least multiple of 1,024 that has a slot for each source. ``weights`` are target weights by source; None takes each source's count to the power ``temperature``.
     """
     rid = F.monotonically_increasing_id()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), rid.alias("rid"))
@@ -71,6 +72,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     base = materialise(base.withColumn("h", order), "mix-rows")
     counts = materialise(base.groupBy("source").agg(F.count("*").alias("n")), "mix-counts")
     total = counts.agg(F.sum("n"), F.count("*")).first()
+    cycle = cycle or 1024 * max(1, -(-(total[1] or 0) // 1024))
     if (total[1] or 0) > cycle:
         raise ValueError(f"{total[1]} sources share a cycle of {cycle} slots: raise cycle")
     digits = max(1, min(8, -(-max(1, (total[0] or 0) // range_rows).bit_length() // 4)))

@@ -184,3 +184,11 @@ def test_packing_keeps_the_mixture(spark, tmp_path):
         tasks[r.sequence_id >> 33].add(r.doc_id)
     spans = [(min(tasks[t]), max(tasks[t])) for t in sorted(tasks)]
     assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)), spans
+
+
+def test_mixing_many_sources(spark):
+    """More sources than 1,024 slots get a longer cycle."""
+    got = mixing.mix(table(spark, [(i, "x", f"s{i % 1030}") for i in range(1100)])).collect()
+    assert sorted(r.position for r in got) == list(range(1100))
+    weights = {r.source: r.weight for r in got}
+    assert len(weights) == 1030 and sum(weights.values()) == 2048 and min(weights.values()) >= 1
