@@ -5,7 +5,8 @@ logistic regression over the families and an unknown class, whose examples are s
 The unknown class is calibrated: its intercept is raised until half of the margin between the notices and the best unknown
 sentence, left out in turn by folds, lies on either side.
 
-Scan (DataFrame functions only): a paragraph is a line. A line with no content word of the vocabulary, or with a single one
+Scan (DataFrame functions only): a paragraph is a line, or a span of up to ``WRAP`` neighbouring lines that holds half of a
+notice's 3-grams, those over line ends too (reported as first-last, in place of its lines' own predictions). A line with no content word of the vocabulary, or with a single one
 whose gains can't reach the intercepts' lead, is unknown by arithmetic; the others' n-grams meet the weights (a broadcast table as large as the fixed notices), are summed
 per paragraph, and the softmax gives a family and its probability. A predicted family is confirmed where at least half of
 the word 3-grams of one of its notices, in whole or in one of its sentences, are in the paragraph.
@@ -121,6 +122,8 @@ UNKNOWN = (
 PLAIN = frozenset("a an and any are as at be by can either for from has have if in is it later may not of on or other see should that the this to under was with without work you your http www org".split())
 TOKEN = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9a-z])\."
 NGRAMS = (1, 2, 3)
+#: Lines that a wrapped notice's matched words may span.
+WRAP = 12
 
 
 def tokens(text: str) -> list[str]:
@@ -210,9 +213,13 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     content, strong = strong_words()
     words = lambda c: f"filter(split(lower({c}), r'{TOKEN}'), t -> t <> '')"
     listed, sole = (f"CAST(array({', '.join(repr(t) for t in ts)}) AS ARRAY<STRING>)" for ts in (content, strong))
-    lines = f"filter(transform(split(text, '\\n'), (l, i) -> named_struct('line', i, 'words', {words('l')})), x -> size(array_intersect(x.words, {listed})) > 1 OR arrays_overlap(x.words, {sole}))"
+    every = f"transform(split(text, '\\n'), (l, i) -> named_struct('line', i, 'words', {words('l')}))"
+    lines = f"filter(every, x -> size(array_intersect(x.words, {listed})) > 1 OR arrays_overlap(x.words, {sole}))"
     kept = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_of(text_col).alias("text"))
-    kept = materialise(kept.select("doc_id", "rid", F.expr(lines).alias("lines")), "licence-lines")
+    plain = f"array({', '.join(repr(t) for t in sorted(PLAIN))})"
+    parts = f"filter(every, x -> arrays_overlap(x.words, {listed}) OR size(x.words) > 0 AND size(array_except(x.words, {plain})) = 0)"
+    kept = kept.select("doc_id", "rid", F.expr(every).alias("every")).select("doc_id", "rid", F.expr(lines).alias("lines"), F.expr(parts).alias("parts"))
+    kept = materialise(kept, "licence-lines")
     line = kept.select("rid", F.explode("lines").alias("x")).select("rid", "x.line", "x.words")
     each = ", ".join(f"transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" if n > 1 else "words" for n in NGRAMS)
     both = "array_distinct(concat(" + ", ".join(f"if(size(words) >= {n}, {e}, array())" for n, e in zip(NGRAMS, re.split(r", (?=transform\(seq)", each), strict=True)) + "))"
@@ -220,26 +227,51 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     grams = grams_of(line)
     shown = [(g, [float(v) for v in w[i]]) for i, g in enumerate(vocabulary) if np.abs(w[i]).max() > 1e-6]
     weights = spark.createDataFrame(shown, "gram string, w array<double>")  # as long as the fixed notices
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("rid", "line").agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
-    scores = [F.col(f"s{i}") + float(w[-1, i]) for i in range(k)]
-    most = F.greatest(*scores)
-    total = functools.reduce(lambda a, b: a + b, (F.exp(s - most) for s in scores))
-    family = F.element_at(F.array(*(F.lit(f) for f in families)), F.array_position(F.array(*scores), most).cast("int"))
-    predicted = sums.select("rid", "line", family.alias("family"), F.round(1 / total, 6).alias("probability")).where("family <> 'unknown'")
+    most = lambda scores: F.greatest(*scores)
+
+    def classified(grams: DataFrame) -> DataFrame:
+        sums = grams.join(F.broadcast(weights), "gram").groupBy("rid", "line").agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
+        scores = [F.col(f"s{i}") + float(w[-1, i]) for i in range(k)]
+        total = functools.reduce(lambda a, b: a + b, (F.exp(s - most(scores)) for s in scores))
+        family = F.element_at(F.array(*(F.lit(f) for f in families)), F.array_position(F.array(*scores), most(scores)).cast("int"))
+        return sums.select("rid", "line", family.alias("family"), F.round(1 / total, 6).alias("probability")).where("family <> 'unknown'")
+
+    predicted = classified(grams)
     # Template comparison: shares of a notice's 3-grams.
     known = [(f, i, n, g) for i, (f, n, gs) in enumerate(templates()) for g in gs]
     notes = spark.createDataFrame(known, "family string, notice int, n int, gram string")
     shared = grams_of(line.join(predicted.select("rid", "line", "family"), ["rid", "line"])).join(F.broadcast(notes), ["family", "gram"])
     likeness = shared.groupBy("rid", "line", "notice", "n").agg(F.count("*").alias("c")).groupBy("rid", "line").agg(F.max(F.col("c") / F.col("n")).alias("likeness"))
     hits = predicted.join(likeness, ["rid", "line"], "left").withColumn("likeness", F.round(F.coalesce("likeness", F.lit(0.0)), 6))
-    return kept.select("rid", "doc_id"), hits.withColumn("confirmed", F.col("likeness") >= confirm)
+    hits = hits.withColumn("confirmed", F.col("likeness") >= confirm).withColumn("last", F.col("line"))
+    # Wrapped notices: template 3-grams over neighbouring lines, in windows of WRAP lines; few rows are left by the first join.
+    ended = "if(i + 1 < size(parts) AND parts[i + 1].line = x.line + 1, x.words, concat(x.words, array('|')))"  # nothing runs on over a gap
+    told = kept.where("size(parts) > 1").select("rid", F.expr(f"flatten(transform(parts, (x, i) -> transform({ended}, w -> named_struct('line', x.line, 'word', w))))").alias("t"))
+    runs = told.where("size(t) > 2").select("rid", F.explode(F.expr("transform(sequence(0, size(t) - 3), i -> named_struct('a', t[i].line, 'b', t[i + 2].line, 'gram', concat_ws(' ', t[i].word, t[i + 1].word, t[i + 2].word)))")).alias("x"))
+    found = runs.select("rid", "x.*").join(F.broadcast(notes), "gram")
+    at = found.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("b") - (WRAP - 1)), F.col("a"))).alias("from"))
+    spans = at.groupBy("rid", "family", "notice", "n", "from").agg(F.count_distinct("gram").alias("c"), F.min("a").alias("first"), F.max("b").alias("last"))
+    spans = spans.withColumn("likeness", F.round(F.col("c") / F.col("n"), 6)).where(F.col("likeness") >= confirm).where("last > first")
+    best = spans.groupBy("rid", "family", "first").agg(F.max_by(F.struct("last", "likeness"), F.struct("likeness", -F.col("last"))).alias("x")).select("rid", "family", "first", "x.*")
+    alone = hits.where("confirmed").select(F.col("rid").alias("r2"), F.col("family").alias("f2"), F.col("line").alias("l2"))
+    inside = lambda lo, hi: (F.col("rid") == F.col("r2")) & (F.col("family") == F.col("f2")) & F.col("l2").between(lo, hi)
+    best = best.join(alone, inside(F.col("first"), F.col("last")), "left_anti")
+    better = best.select(F.col("rid").alias("r2"), F.col("family").alias("f2"), F.struct(-F.col("likeness"), F.col("last") - F.col("first"), F.col("first")).alias("rank"), F.col("first").alias("a2"), F.col("last").alias("b2"))
+    order = F.struct(-F.col("likeness"), F.col("last") - F.col("first"), F.col("first"))
+    same = (F.col("rid") == F.col("r2")) & (F.col("family") == F.col("f2")) & (F.col("a2") <= F.col("last")) & (F.col("b2") >= F.col("first")) & (F.col("rank") < order)
+    best = materialise(best.join(better, same, "left_anti").withColumn("line", F.monotonically_increasing_id()), "licence-spans")
+    body = best.join(told, "rid").select("rid", "line", F.expr("transform(filter(t, x -> x.line BETWEEN first AND last), x -> x.word)").alias("words"))
+    sure = best.join(classified(grams_of(body)), ["rid", "line", "family"]).select("rid", F.col("first").alias("line"), "family", "probability", "likeness", F.lit(True).alias("confirmed"), "last")
+    part = sure.select(F.col("rid").alias("r2"), F.col("family").alias("f2"), F.col("line").alias("a2"), F.col("last").alias("b2"))
+    hits = hits.join(part, (F.col("rid") == F.col("r2")) & (F.col("family") == F.col("f2")) & F.col("line").between(F.col("a2"), F.col("b2")), "left_anti")
+    return kept.select("rid", "doc_id"), hits.unionByName(sure)
 
 
 def scan_licenses(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, families (confirmed, distinct, sorted), paragraphs (line:family of each), n_confirmed, n_unconfirmed."""
     rows, hits = scan_paragraphs(docs, **options)
     sure = F.col("confirmed")
-    at = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(sure, F.struct("line", "family")))), lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["family"])), ",")
+    at = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(sure, F.struct("line", "family", "last")))), lambda x: F.concat(x["line"].cast("string"), F.when(x["last"] > x["line"], F.concat(F.lit("-"), x["last"].cast("string"))).otherwise(""), F.lit(":"), x["family"])), ",")
     per = hits.groupBy("rid").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"), at.alias("paragraphs"), F.count_if(sure).alias("n_confirmed"), F.count_if(~sure).alias("n_unconfirmed")
     )  # lines of one document

@@ -282,3 +282,12 @@ def test_secret_runs():
         assert {*range(at, at + len(secret))} <= covered, text
     for text in ["id=123e4567-e89b-12d3-a456-426614174000", "x-da39a3ee5e6b4b0d3255bfef95601890afd80709", "2024-01-02/03-04-05-06-07-08", "a" * 30 + "=1"]:
         assert not [x for x in secrets.scan(text) if x[1] > 2], text
+
+
+def test_wrapped_licenses(spark):
+    """A notice wrapped over lines, with comment marks or not, is one span of lines."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
+    mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated documentation\n# files (the \"Software\"), to deal in the Software without restriction"
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, [(1, "Erth\n\n" + bsd), (2, mit), (3, "plain\nwords")])).collect()}
+    assert (got[1].families, got[1].paragraphs, got[1].n_unconfirmed) == ("BSD", "2-3:BSD", 0) or got[1].paragraphs == "2-4:BSD"
+    assert (got[2].families, got[2].paragraphs) == ("MIT", "0-2:MIT") and not got[3].families
