@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, partitions, table, text_of, without
 from tessera.llm.components import components, local_labels
-from tessera.llm.quality import powers
+from tessera.llm.hashing import U, segments, span_hashes
 
-U = np.uint64
 VALUES, ROWS, STEP = 128, 4, 16
+#: A byte outside words ends a segment.
+_GAP = re.compile(rb"[^0-9a-z\x80-\xff]")
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * U(2) + U(1)
 _ADD = _rng.integers(0, 2**64, VALUES, dtype=np.uint64)
@@ -51,21 +53,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams."""
-    b = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    inside = (b >= 128) | ((b >= 97) & (b <= 122)) | ((b >= 48) & (b <= 57))
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
+    """Sorted distinct 64-bit hashes of the text's word n-grams, made a segment of the text at a time."""
+    found, before, seen = [], np.zeros(0, U), 0
+    for raw in segments(text.lower().encode("utf-8", "surrogatepass"), _GAP):
+        b = np.frombuffer(raw, np.uint8)
+        inside = (b >= 128) | ((b >= 97) & (b <= 122)) | ((b >= 48) & (b <= 57))
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        new = mixed(span_hashes(b, edge[::2], edge[1::2]))
+        seen += len(new)
+        h = np.r_[before, new]
+        if len(h) >= words:
+            found.append(np.unique(ngrams(h, words)))
+        before = h[max(0, len(h) - words + 1) :]
+    if not seen:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(b) + 1)
-    total = np.r_[U(0), np.cumsum((b.astype(U) + U(1)) * up[: len(b)], dtype=U)]
-    h = mixed((total[ends] - total[starts]) * down[starts])
-    m = max(1, len(h) - words + 1)
+    return np.unique(np.concatenate(found)) if seen >= words else ngrams(before, len(before))
+
+
+def ngrams(h: np.ndarray, n: int) -> np.ndarray:
+    m = len(h) - n + 1
     out = np.zeros(m, U)
-    for i in range(min(words, len(h))):
+    for i in range(n):
         out = mixed(out * U(0x9E3779B97F4A7C15) + h[i : i + m])
-    return np.unique(out)
+    return out
 
 
 def signature(s: np.ndarray) -> np.ndarray:

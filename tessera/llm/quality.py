@@ -1,13 +1,14 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
-Words are runs between white space. Each gives a word (lower-cased by byte) and a shape (letter case, digits, marks, length,
-and whether it repeats one of the four words before it). Word 1- and 2-grams and shape 1-, 2- and 3-grams are hashed into
-2**18 places; a family's n-grams share a weight of one, so a text's score is the sparse dot product of relative frequencies
-and weights, whatever its length.
+Words are runs of letters and digits, lower-cased by byte, and runs of marks. Word 1-, 2- and 3-grams are hashed into 2**18
+places; a 2-gram of one word twice is one n-gram whatever the word, and so is a 3-gram whose ends are one word. The n-grams
+of a size share a weight of one, so a text's score is the sparse dot product of relative frequencies and weights, whatever
+its length.
 
 Training (FTRL-Proximal: per-coordinate rates, L1 and L2) runs in one task over a bounded sample of labelled rows, at most
 ``per_class`` of each label, taken by hash of doc_id; rows with crc32(doc_id) mod 5 = 0 are held out. The weights
-(``2**bits`` floats, 2 MB) are broadcast; scoring is row by row in Arrow batches, without a shuffle.
+(``2**bits`` floats, 2 MB) are broadcast; scoring is row by row in Arrow batches, a segment of a text at a time, without a
+shuffle.
 
 Cases: null text counts as empty; an empty text scores the intercept. Null ids are never trained on and not held out.
 Unlabelled rows are scored like all others; with no labels at all every score is 0.5. Repeated rows are scored each.
@@ -24,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
+from tessera.llm.hashing import U, segments, span_hashes
 
-U = np.uint64
 BITS = 18
-P = 0x100000001B3 | 1
-_POWERS: dict = {}
+#: Kinds of bytes: white space 0, letters and digits 1, marks 2.
+KIND = np.full(256, 2, np.uint8)
+KIND[:33] = 0
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -36,60 +39,38 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i mod 2**64 for i up to n; kept for the process, grown by doubling."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.r_[U(1), np.full(size, P, U)], dtype=U)
-            down = np.cumprod(np.r_[U(1), np.full(size, pow(P, -1, 1 << 64), U)], dtype=U)
-        _POWERS.update(up=up, down=down)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
     return h ^ (h >> U(32))
 
 
-def features(text: str, bits: int = BITS) -> list[np.ndarray]:
-    """Hashed n-grams of a text, a family at a time."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    word = b > 32
-    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return []
-    upper = (b >= 65) & (b <= 90)
-    low = b + (upper * np.uint8(32))
-    up, down = powers(len(b) + 1)
-    total = np.r_[U(0), np.cumsum((low + U(1)) * up[: len(b)], dtype=U)]
-    words = mixed((total[ends] - total[starts]) * down[starts])
-    letter = (b >= 128) | ((low >= 97) & (low <= 122))
-    digit = (b >= 48) & (b <= 57)
-    count = lambda x: np.diff(np.r_[0, np.cumsum(x, dtype=np.int32)][np.c_[starts, ends]])[:, 0]
-    n, uppers, letters, digits = ends - starts, count(upper), count(letter), count(digit)
-    marks = n - letters - digits
-    size = np.minimum(np.log2(n).astype(np.int64), 6)
-    again = np.zeros(len(n), np.int64)
-    for back in (4, 3, 2, 1):
-        again[back:][words[back:] == words[:-back]] = back
-    case = np.where(uppers == 0, 0, np.where((uppers == letters) & (n > 1), 2, 1))
-    last, first = b[ends - 1].astype(np.int64), b[starts].astype(np.int64)
-    ending = np.where((last < 48) | ((last > 57) & (last < 65)) | ((last > 90) & (last < 97)) | ((last > 122) & (last < 128)), last, 0)
-    shape = ((((case * 7 + size) * 5 + again) * 4 + np.minimum(marks, 3)) * 3 + np.minimum(digits, 2)) * 2 + (letters > 0)
-    shape = mixed(shape.astype(U) * U(0x9E3779B97F4A7C15) + ending.astype(U) * U(0xC2B2AE3D27D4EB4F) + (first < 48).astype(U))
-    families = [words, words[:-1] * U(31) + words[1:] + U(7), shape + U(1), shape[:-1] * U(37) + shape[1:] + U(2), shape[:-2] * U(41) + shape[1:-1] * U(43) + shape[2:] + U(3)]
-    return [(mixed(f) >> U(64 - bits)).astype(np.int64) for f in families if len(f)]
+def words(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a text in UTF-8."""
+    b = np.frombuffer(raw, np.uint8)
+    kind = KIND[b]
+    starts = np.flatnonzero(np.diff(kind, prepend=np.uint8(0)))
+    ends = np.r_[starts[1:], len(b)]
+    some = kind[starts] > 0
+    return mixed(span_hashes(b + ((b >= 65) & (b <= 90)) * np.uint8(32), starts[some], ends[some]))
+
+
+def features(text: str, bits: int = BITS) -> Iterator[list[np.ndarray]]:
+    """Hashed n-grams, those of a size together, a segment of the text at a time."""
+    before = np.zeros(0, U)
+    for raw in segments(text.encode("utf-8", "surrogatepass")):
+        w = np.r_[before, words(raw)]
+        two, three = len(before[1:]), 0  # n-grams that the segment before has had
+        pairs = np.where(w[:-1] == w[1:], U(99), w[:-1] * U(31) + w[1:] + U(7))[two:]
+        triples = np.where(w[:-2] == w[2:], U(98), w[:-2] * U(41) + w[1:-1] * U(43) + w[2:] + U(3))[three:]
+        yield [(mixed(f) >> U(64 - bits)).astype(np.int64) for f in (w[len(before) :], pairs, triples)]
+        before = w[-2:]
 
 
 def sparse(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text's features; a family's values add up to one."""
-    found = features(text, bits)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0)
+    """Places and values of a text's features; the values of a size add up to one."""
+    found = [np.concatenate(f) for f in zip(*features(text, bits), strict=True)]
     at, place = np.unique(np.concatenate(found), return_inverse=True)
-    return at, np.bincount(place, np.concatenate([np.full(len(f), 1 / len(f)) for f in found]))
+    return at, np.bincount(place, np.concatenate([np.full(len(f), 1 / max(len(f), 1)) for f in found]), len(at))
 
 
 class Ftrl:
@@ -113,8 +94,11 @@ class Ftrl:
 
 
 def score(text: str, w: np.ndarray, bits: int = BITS) -> float:
-    s = float(w[-1]) + sum(float(w[f].mean()) for f in features(text, bits))
-    return float(1 / (1 + np.exp(-np.clip(s, -35, 35))))
+    total, n = np.zeros(3), np.zeros(3)
+    for found in features(text, bits):
+        total += [w[f].sum() for f in found]
+        n += [len(f) for f in found]
+    return float(1 / (1 + np.exp(-np.clip(w[-1] + (total / np.maximum(n, 1)).sum(), -35, 35))))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:

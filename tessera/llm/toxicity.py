@@ -1,26 +1,30 @@
-"""Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks.
+"""Toxicity: a subsequence string-kernel support vector machine with Nystroem landmarks, trained on labelled sentences.
 
 The kernel of two words counts their common gapped subsequences of three symbols, a subsequence weighing ``decay`` to the
 power of the span it takes (at most ``SPAN``), word ends being symbols too. So a word with characters put in or left out
 stays near itself. It is normalised by each word's weight for its length.
 
 Training takes a bounded sample: at most ``per_class`` labelled rows of each label, by hash of doc_id, none held out.
-1. Sentences carry their document's label; one that a clean document has is clean. Words of three or more toxic texts (copies
-   of a text count once) and hardly of clean ones are seeds. Seeds also come with characters put in.
-2. Landmarks are seeds, and words of clean sentences; the kernel to them, whitened, is a word's Nystroem vector.
-3. A squared-hinge SVM is fitted by Newton steps; clean words that score highest become examples and landmarks, three times.
-4. A second squared-hinge SVM is fitted on the labelled sentences themselves, in stretches of at most ``STRETCH`` words. Its
-   kernel counts common subsequences of one or two words, at most ``REACH`` words apart, so insults made of usual words are
-   learned. Its features are explicit (hashed to ``2**BITS`` places), so it needs no landmarks. All stretches of toxic
-   documents that no clean one has are toxic at first; then those that score above 0 by a model of other documents, and the
-   highest of each document, so every labelled document keeps an example.
+1. A sentence is the bag of its words and carries its document's label; one that a clean document has is clean. The toxic
+   sentences of a document are one bag (copies of a text are one document): some word of it is toxic, which one isn't told.
+   All words of clean sentences are clean.
+2. A word's features are its kernel values to the landmarks, whitened (Nystroem). Landmarks are chosen by pivoted Cholesky
+   steps among words of toxic sentences, and among clean ones.
+3. A squared-hinge SVM is fitted by Newton steps, at first with all words of a toxic bag, which share its weight; then with
+   the bag's witnesses: words that score above 0 by a model of other bags, and the bag's highest. Landmarks are then chosen
+   anew, among witnesses and the clean words that score highest, and the SVM is fitted again; witnesses of several bags are
+   examples with characters put in, too.
+4. A second squared-hinge SVM is fitted on the sentences in stretches of at most ``STRETCH`` words. Its kernel counts common
+   subsequences of one or two words, at most ``REACH`` words apart, so insults made of usual words are learned. Its features
+   are explicit (hashed to ``2**BITS`` places), so it needs no landmarks. Witnesses are chosen in the same way.
 5. A document's score pools its words' (the two highest, and how many of how many are in the first SVM's positive half) and
-   its highest stretch, through a logistic curve fitted on all rows of the sample; their stretches are scored by models of
-   other documents. Without seeds the first SVM is zero, and the second alone decides.
+   its highest stretch, through a logistic curve fitted on all rows of the sample, their stretches scored by models of other
+   documents, and on toxic texts whose witnesses have characters put in.
 
 The decision is a weighted sum of kernels to landmarks, and the kernel a dot product of subsequence counts, so the landmarks
-collapse into one weight for each of 64**3 subsequences: a table of 1 MB, broadcast with another 1 MB of the sentence SVM.
-Every character and word of every text is scored with them in numpy, without a shuffle. Runs of single characters between spaces are read as a word as well.
+collapse into one weight for each of 64**3 subsequences: a table of 1 MB, broadcast with another 1 MB of the second SVM.
+Every character and word of every text is scored with them in numpy, a segment of a text at a time, without a shuffle. Runs
+of single characters between spaces are read as a word as well.
 
 Cases: null text counts as empty; a text without words scores lowest. Null ids are never trained on. Without labels of both
 kinds every score is 0. Repeated rows are scored each. An empty table gives no rows. Extra columns are never read.
@@ -31,6 +35,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,7 +45,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, text_of
-from tessera.llm.quality import held_out, mixed, powers, sample
+from tessera.llm.hashing import SEGMENT, U, span_hashes
+from tessera.llm.quality import held_out, mixed, sample
 
 SPAN, DECAY, SYMBOLS = 5, 0.7, 64
 EDGE, SKIP, OTHER = 0, 1, 63
@@ -50,8 +56,11 @@ GAPS = [(i, j) for i in range(1, SPAN) for j in range(i + 1, SPAN)]
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]){2,}[^\W\d_](?!\S)")
 SENTENCE = re.compile(r"[.!?]+(?=\s)|\n+")
 BITS, REACH, STRETCH = 18, 3, 32
-U = np.uint64
+#: Where a long text is cut: after a sentence, else after a word that is no part of a run of single characters.
+CUTS = re.compile(r"[.!?]\s|\n"), re.compile(r"\S\S\s")
 WORD = re.compile(r"\S+")
+#: Of the first SVM; and what a toxic text with characters put in counts for in the curve.
+RIDGE, HIDDEN = 10.0, 0.05
 STRIP = ".,;:!?\"'()[]{}<>|*$%&#"
 
 
@@ -83,15 +92,11 @@ def encode(text: str) -> np.ndarray:
     return CODES[points]
 
 
-def _lengths() -> np.ndarray:
-    """The norm of a word of n symbols, ends included: the root of the sum of squared weights, were all subsequences apart."""
-    n = np.arange(4096)
+def norms(n: np.ndarray) -> np.ndarray:
+    """The norm of words of n symbols, ends included: the root of the sum of squared weights, were all subsequences apart."""
     return np.sqrt(np.maximum(sum(np.maximum(n - j, 0) * DECAY ** (2 * (j + 1)) for _, j in GAPS), 1e-9))
 
 
-NORM = _lengths()
-
-
 def word_scores(codes: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Normalised sum of subsequence weights for each word of an encoded text."""
     edge = codes == EDGE
@@ -113,16 +118,31 @@ def word_scores(codes: np.ndarray, v: np.ndarray) -> np.ndarray:
         total[:m] += got
     starts = np.flatnonzero(edge)
     length = np.diff(starts) + 1
-    return np.add.reduceat(total, starts)[:n] / NORM[np.minimum(length, len(NORM) - 1)]
+    return np.add.reduceat(total, starts)[:n] / norms(length)
+
+
+def parts(text: str) -> Iterator[str]:
+    """Pieces of a long text, each about SEGMENT characters unless no cut is found; joined they are the text."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        found = CUTS[0].search(text, at + SEGMENT, at + 2 * SEGMENT) or CUTS[1].search(text, at + SEGMENT)
+        if found is None:
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
 
 
 def document_features(text: str, v: np.ndarray, bias: float) -> np.ndarray:
     """The two highest word scores, and logarithms of the words in the SVM's positive half and of all words."""
-    low = unicodedata.normalize("NFC", text)
-    spaced = [m[0].replace(" ", "").replace("\t", "") for m in SPACED.finditer(low)]
-    scores = word_scores(encode(" ".join([low, *spaced]) if spaced else low), v) + bias
-    top = np.sort(np.partition(scores, -2)[-2:]) if len(scores) > 1 else np.r_[-3.0, scores, -3.0][:2]
-    return np.array([top[-1], top[0], np.log1p((scores > 0).sum()), np.log1p(len(scores))])
+    top, positive, n = [-3.0, -3.0], 0, 0
+    for low in map(lambda t: unicodedata.normalize("NFC", t), parts(text)):
+        spaced = [m[0].replace(" ", "").replace("\t", "") for m in SPACED.finditer(low)]
+        scores = word_scores(encode(" ".join([low, *spaced]) if spaced else low), v) + bias
+        high = np.partition(scores, -2)[-2:] if len(scores) > 1 else scores
+        top = sorted([*(top if n else top[: max(0, 2 - len(high))]), *high.tolist()])[-2:]
+        positive, n = positive + int((scores > 0).sum()), n + len(scores)
+    return np.array([top[1], top[0], np.log1p(positive), np.log1p(n)])
 
 
 WORD_BYTE = np.zeros(256, bool)
@@ -140,9 +160,7 @@ def stretches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, U), np.zeros(0), np.zeros(0, np.int64)
-    up, down = powers(len(b) + 1)
-    total = np.r_[U(0), np.cumsum((b + U(1)) * up[: len(b)], dtype=U)]
-    words = mixed((total[ends] - total[starts]) * down[starts])
+    words = mixed(span_hashes(b, starts, ends))
     stop = (b == 10) | (((b == 46) | (b == 33) | (b == 63)) & np.r_[b[1:] <= 32, True])
     sentence = np.cumsum(stop)[starts]
     first = np.r_[True, sentence[1:] != sentence[:-1]]
@@ -163,8 +181,13 @@ def stretches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def highest_stretch(text: str, u: np.ndarray) -> float:
     """The sentence SVM's score of a text's most toxic stretch; that of a text without words is the intercept's."""
-    key, x, at = stretches(text)
-    return float(u[-1] + (np.bincount(at, x * u[(key >> U(64 - BITS)).astype(np.int64)]).max() if len(at) else 0.0))
+    best = None
+    for part in parts(text):
+        key, x, at = stretches(part)
+        if len(at):
+            high = float(np.bincount(at, x * u[(key >> U(64 - BITS)).astype(np.int64)]).max())
+            best = high if best is None else max(best, high)
+    return float(u[-1] + (best or 0.0))
 
 
 # --- training, in one task over the sample ---
@@ -176,8 +199,8 @@ class Sentences:
     def __init__(self, rows: list[tuple[int, str]]):
         keys, xs, units, self.doc, signs = [], [], [], [], []
         n = 0
-        for i, (_, t) in enumerate(rows):
-            key, x, at = stretches(t)
+        for i, part in ((i, p) for i, (_, t) in enumerate(rows) for p in parts(t)):
+            key, x, at = stretches(part)
             if len(at):
                 m = int(at[-1]) + 1
                 signs.append(np.add.reduceat(key, np.flatnonzero(np.r_[True, at[1:] != at[:-1]])))
@@ -250,54 +273,88 @@ class Sentences:
         return model, others
 
 
-def phi(word: str) -> tuple[np.ndarray, np.ndarray]:
-    """Subsequences of a word and their normalised weights."""
-    c = encode(word).astype(np.int64)
-    keys, values = [], []
+def entries(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subsequences of words (none with white space within): the word of each, its place in the table, its normalised weight; by word."""
+    codes = encode(" ".join(words)).astype(np.int64)
+    edge = codes == EDGE
+    at = np.cumsum(edge) - 1
+    ending, norm = at - edge, 1 / norms(np.diff(np.flatnonzero(edge)) + 1)
+    of, keys, values = [], [], []
     for i, j in GAPS:
-        m = len(c) - j
-        if m > 0:
-            a, b, d = c[:m], c[i : i + m], c[j:]
-            keep = (a != SKIP) & (b != SKIP) & (d != SKIP) & (b != EDGE)
-            keys.append((a * SYMBOLS * SYMBOLS + b * SYMBOLS + d)[keep])
-            values.append(np.full(int(keep.sum()), DECAY ** (j + 1)))
-    keys, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, values))
-    at, place = np.unique(keys, return_inverse=True)
-    return at, np.bincount(place, values, minlength=len(at)) / NORM[min(len(c), len(NORM) - 1)]
-
-
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel values, words by landmarks."""
-    land = [phi(x) for x in landmarks]
-    index = np.unique(np.concatenate([x[0] for x in land]))
-    dense = np.zeros((len(index), len(land)), np.float32)
-    for i, (at, x) in enumerate(land):
-        dense[np.searchsorted(index, at), i] = x
-    out = np.zeros((len(words), len(land)), np.float32)
-    for i, word in enumerate(words):
-        at, x = phi(word)
-        place = np.searchsorted(index, at)
-        place[place == len(index)] = 0
-        known = index[place] == at
-        out[i] = x[known] @ dense[place[known]]
+        m = max(len(codes) - j, 0)
+        a, b, c = codes[:m], codes[i : i + m], codes[j:]
+        some = np.flatnonzero((at[:m] == at[i : i + m]) & (at[:m] == ending[j:]) & (a != SKIP) & (b != SKIP) & (c != SKIP) & (b != EDGE))
+        of.append(at[some])
+        keys.append(a[some] * SYMBOLS * SYMBOLS + b[some] * SYMBOLS + c[some])
+        values.append(DECAY ** (j + 1) * norm[at[some]])
+    of, keys, values = np.concatenate(of), np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(of, kind="stable")
+    return of[order], keys[order], values[order]
+
+
+def kernel(words: list[str], landmarks: list[str], white: np.ndarray | None = None, chunk: int = 512) -> np.ndarray:
+    """Kernel values, words by landmarks (times ``white``, Nystroem features), a chunk of words at a time."""
+    of, keys, values = entries(landmarks)
+    known, place = np.unique(keys, return_inverse=True)
+    dense = np.zeros((len(known), len(landmarks)))
+    np.add.at(dense, (place, of), values)
+    dense = (dense if white is None else dense @ white).astype(np.float32)
+    out = np.zeros((len(words), dense.shape[1]), np.float32)
+    for lo in range(0, len(words), chunk):
+        of, keys, values = entries(words[lo : lo + chunk])
+        place = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        mine = np.flatnonzero(known[place] == keys) if len(known) else place[:0]
+        if len(mine):
+            of = of[mine]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            out[lo + of[first]] = np.add.reduceat(dense[place[mine]] * values[mine, None].astype(np.float32), first)
     return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 25) -> np.ndarray:
-    """SVM weights (the last is the intercept) by Newton steps over the examples within the margin."""
-    x = np.c_[x, np.ones(len(x))]
-    w, active, old = np.zeros(x.shape[1]), np.ones(len(x), bool), None
-    penalty = np.diag(np.r_[np.full(x.shape[1] - 1, ridge), 1e-6])
-    for _ in range(steps):
-        a = x[active] * weight[active, None]
-        w = np.linalg.solve(a.T @ x[active] + penalty, a.T @ y[active])
-        active = y * (x @ w) < 1
-        if old is not None and (active == old).all():
-            break
-        old = active
+def collapsed(landmarks: list[str], beta: np.ndarray) -> np.ndarray:
+    """The table whose subsequence weights give the sum of kernels to ``landmarks`` times ``beta``."""
+    of, keys, values = entries(landmarks)
+    return np.bincount(keys, values * beta[of], SYMBOLS**3).astype(np.float32)
+
+
+def squared_hinge(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, w: np.ndarray | None = None, ridge: float = RIDGE, steps: int = 12, chunk: int = 8192) -> np.ndarray:
+    """SVM weights (the last is the intercept) by Newton steps, from ``w`` on; every row counts ``toxic`` times for one side and ``clean`` times for the other."""
+    n, sides = x.shape[1], (toxic > 0, clean > 0)
+    penalty = np.diag(np.r_[np.full(n, ridge), 1e-6])
+    for step in range(steps + 1):
+        if step or w is not None:
+            f = x @ w[:-1].astype(np.float32) + w[-1]
+            now = ((toxic > 0) & (f < 1), (clean > 0) & (f > -1))
+            if step and all((a == b).all() for a, b in zip(now, sides, strict=True)):
+                break
+            sides = now
+        up, down = toxic * sides[0], clean * sides[1]
+        left, right = penalty.copy(), np.zeros(n + 1)
+        active = np.flatnonzero(up + down)
+        for lo in range(0, len(active), chunk):
+            some = active[lo : lo + chunk]
+            z = np.c_[x[some], np.ones(len(some), np.float32)]
+            left += z.T @ (z * (up + down)[some, None].astype(np.float32))
+            right += z.T @ (up - down)[some].astype(np.float32)
+        w = np.linalg.solve(left, right)
     return w
 
 
+def pivots(k: np.ndarray, weight: np.ndarray, most: int) -> list[int]:
+    """Rows of a kernel matrix by pivoted Cholesky steps: each the one that those before it span least, times its weight."""
+    rest, rows, found = np.diag(k) * weight, np.zeros((len(k), most)), []
+    while len(found) < most and len(k):
+        i, p = len(found), int(np.argmax(rest))
+        if rest[p] <= 1e-6:
+            break
+        row = k[:, p] - rows[:, :i] @ rows[p, :i]
+        rows[:, i] = row / math.sqrt(max(row[p], 1e-9))
+        found.append(p)
+        rest = np.maximum(np.diag(k) - (rows[:, : i + 1] ** 2).sum(1), 0) * weight
+        rest[found] = 0
+    return found
+
+
 def originals(texts: list[str]) -> list[int]:
     """For each text the place of the first one it copies, or its own: a copy has more than half its runs of three words in an earlier text."""
     first: dict[tuple, list[int]] = defaultdict(list)
@@ -320,29 +377,6 @@ def originals(texts: list[str]) -> list[int]:
     return found
 
 
-def chance(n: int, c: int, share: float) -> float:
-    """How likely ``n`` or more of ``n + c`` texts are toxic ones, where a word tells nothing and ``share`` of the texts are toxic."""
-    return sum(math.exp(math.lgamma(n + c + 1) - math.lgamma(k + 1) - math.lgamma(n + c - k + 1) + k * math.log(share) + (n + c - k) * math.log1p(-share)) for k in range(n, n + c + 1))
-
-
-def seeds_of(sentences: list[tuple[str, int, int]], n_documents: list[int], least: int = 3, luck: float = 1e-3) -> list[str]:
-    """Words in sentences of ``least`` or more toxic texts, 10 times as usual there as in clean ones, and not by luck.
-
-    ``sentences`` are (text, label, text's place); copies of a text have one place, so that they count once. Neither ``least``
-    nor ``luck`` depends on the sample's size.
-    """
-    documents: list[dict] = [defaultdict(set), defaultdict(set)]
-    for s, y, doc in sentences:
-        for w in {w.strip(STRIP).lower() for w in WORD.findall(s)} - {""}:
-            documents[y][w].add(doc)
-    found, share = {}, n_documents[1] / sum(n_documents)
-    for w, docs in documents[1].items():
-        n, c = len(docs), len(documents[0].get(w, ()))
-        if n >= least and n / n_documents[1] >= 10 * (c + 0.5) / n_documents[0] and chance(n, c, share) <= luck:
-            found[w] = n
-    return sorted(found, key=lambda w: (-found[w], w))
-
-
 def disguised(word: str, rng: np.random.Generator) -> str:
     """The word with one to three characters put in."""
     s = list(word)
@@ -351,18 +385,107 @@ def disguised(word: str, rng: np.random.Generator) -> str:
     return "".join(s)
 
 
-def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 160) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subsequence weights, the SVM's intercept before the logistic curve's weights, and the sentence SVM's weights, from labelled texts."""
+def words_of(text: str) -> set[str]:
+    return {w for w in (w.strip(STRIP).lower() for w in WORD.findall(text)) if w}
+
+
+class Bags:
+    """Labelled sentences as bags of words: those of a toxic document that no clean one has are one bag, and of copies of a text only one counts."""
+
+    def __init__(self, toxic: list[str], clean: list[str], most_clean: int):
+        usual = {s for t in clean for s in SENTENCE.split(t)}
+        found: dict[int, set] = defaultdict(set)
+        for i, t in zip(originals(toxic), toxic, strict=True):
+            for s in {*SENTENCE.split(t)} - usual:
+                found[i] |= words_of(s)
+        bags = [sorted(b) for b in found.values() if b]
+        seen: dict[str, int] = defaultdict(int)
+        for t in clean:
+            for w in words_of(t):
+                seen[w] += 1
+        own = sorted({w for b in bags for w in b})
+        rest = sorted(seen.keys() - {*own}, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:most_clean]
+        self.words, self.n = own + rest, len(bags)
+        place = {w: i for i, w in enumerate(self.words)}
+        self.bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        self.word = np.array([place[w] for b in bags for w in b], np.int64)
+        self.toxic = np.bincount(self.word, minlength=len(self.words)).astype(float)  # bags that have the word
+        self.clean = np.array([seen.get(w, 0) for w in self.words], float)  # clean documents that have it
+
+    def positive(self, chosen: np.ndarray, share: float) -> np.ndarray:
+        """Weights of the words as toxic examples: a bag's chosen words share a weight of one; ``share`` is the sum's part of the clean side's."""
+        each = np.bincount(self.bag[chosen], minlength=self.n)
+        total = np.bincount(self.word[chosen], 1 / each[self.bag[chosen]], len(self.words))
+        return total * (share * self.clean.sum() / max(total.sum(), 1e-9))
+
+    def witnesses(self, f: np.ndarray) -> np.ndarray:
+        """Places in the bags whose words score above 0, and each bag's highest."""
+        best = np.full(self.n, -np.inf)
+        np.maximum.at(best, self.bag, f)
+        return np.flatnonzero((f > 0) | (f >= best[self.bag]))
+
+
+def nystroem(landmarks: list[str]) -> np.ndarray:
+    """Whitening of kernel values to ``landmarks``."""
+    k = kernel(landmarks, landmarks).astype(float)
+    s, u = np.linalg.eigh((k + k.T) / 2)
+    keep = s > 1e-4 * s[-1]
+    return u[:, keep] / np.sqrt(s[keep])
+
+
+def fit_words(toxic: list[str], clean: list[str], landmarks: int = 160, most_clean: int = 30_000, pool: int = 3000, share: float = 0.25, folds: int = 2) -> tuple[np.ndarray, float, set[str]]:
+    """Subsequence weights and intercept of the SVM over labelled sentences as bags of words, and its witnesses of several bags.
+
+    ``landmarks`` is the number of each kind, ``most_clean`` of words of clean texts alone (by hash), ``pool`` of words that
+    landmarks are chosen from: bounds of the sample, whatever the table's size.
+    """
+    bags = Bags(toxic, clean, most_clean)
+    if not bags.n or not bags.clean.any():
+        return np.zeros(SYMBOLS**3, np.float32), -1.0, set()
+    lettered = np.array([any(c.isalpha() for c in w) for w in bags.words])
+    fold = np.arange(bags.n) % folds
+
+    def chosen_from(some: np.ndarray, weight: np.ndarray) -> list[str]:
+        some = some[lettered[some]]
+        some = some[np.argsort(-weight[some], kind="stable")[:pool]]
+        names = [bags.words[i] for i in some]
+        return [names[i] for i in pivots(kernel(names, names).astype(float), np.log1p(weight[some]), landmarks)]
+
+    usual = np.where(bags.clean > 0, bags.clean, 0.1)
+    land = chosen_from(np.flatnonzero(bags.toxic > 0), bags.toxic) + chosen_from(np.flatnonzero(bags.toxic == 0), usual)
+    chosen = np.flatnonzero(bags.toxic[bags.word] + bags.clean[bags.word] > 1)  # at first all words of a bag but those no other text has
+    for again in (False, True):
+        land = list(dict.fromkeys(land))
+        white = nystroem(land)
+        x = kernel(bags.words, land, white)
+        f, high = np.zeros(len(bags.bag)), np.zeros(len(x))
+        for k in range(folds):  # scores by a model of other bags
+            w = squared_hinge(x, bags.positive(chosen[fold[bags.bag[chosen]] != k], share), bags.clean, None if k == 0 else w)
+            scores = x @ w[:-1].astype(np.float32) + w[-1]
+            mine = fold[bags.bag] == k
+            f[mine] = scores[bags.word[mine]]
+            high += scores / folds
+        chosen = bags.witnesses(f)
+        told = np.bincount(bags.word[chosen], minlength=len(bags.words)).astype(float)
+        if not again:  # landmarks anew: witnesses, and the clean words that score highest
+            hard = np.argsort(-np.where(bags.clean > 0, high, -np.inf), kind="stable")[:pool]
+            land = chosen_from(np.flatnonzero(told), told) + chosen_from(hard[bags.clean[hard] > 0], np.exp(np.clip(high, -5, 5)))
+    # Virtual examples: words that are witnesses of several bags, with characters put in.
+    rng, weight = np.random.default_rng(7), bags.positive(chosen, share)
+    virtual = [(disguised(bags.words[i], rng), weight[i] / 3) for i in np.flatnonzero(told > 1) for _ in range(3)]
+    made = kernel([v for v, _ in virtual], land, white) if virtual else x[:0]
+    w = squared_hinge(np.r_[x, made], np.r_[weight, [v for _, v in virtual]], np.r_[bags.clean, np.zeros(len(virtual))], w)
+    sure = {bags.words[i] for i in np.flatnonzero(told > 1) if x[i] @ w[:-1] + w[-1] > 0}
+    return collapsed(land, white @ w[:-1]), float(w[-1]), sure
+
+
+def fit(rows: list[tuple[int, str]], **bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subsequence weights, the SVM's intercept before the logistic curve's weights, and the word-subsequence SVM's weights, from labelled texts."""
     flat, none, zero = np.zeros(SYMBOLS**3, np.float32), np.array([0.0, 0, 0, 0, 0, 0, -50]), np.zeros((1 << BITS) + 1, np.float32)
     toxic, clean = ([t for y, t in rows if y == k] for k in (1, 0))
     if not toxic or not clean:
         return flat, none, zero
-    usual = {s for t in clean for s in SENTENCE.split(t)}  # a sentence is a clean one if any clean document has it
-    sentences = [(s, 0, i) for i, t in enumerate(clean) for s in {*SENTENCE.split(t)}]
-    places = originals(toxic)
-    sentences += [(s, 1, i) for i, t in zip(places, toxic, strict=True) for s in {*SENTENCE.split(t)} - usual]
-    seeds = seeds_of(sentences, [len(clean), len({*places})])[:600]
-    v, bias = fit_words(seeds, sentences, most_seeds, most_clean) if seeds else (flat, -1.0)
+    v, bias, sure = fit_words(toxic, clean, **bounds)
     held = Sentences(rows)
     u, others = held.fit()
     top = np.full(len(rows), u[-1], float)
@@ -371,49 +494,26 @@ def fit(rows: list[tuple[int, str]], most_seeds: int = 160, most_clean: int = 16
         np.maximum.at(best, held.doc, others)
         top = np.where(np.isfinite(best), best, top)
     x = np.c_[[document_features(t, v, bias) for _, t in rows], top]
-    return v, np.r_[bias, logistic(x, np.array([y for y, _ in rows], float))], u.astype(np.float32)
-
-
-def fit_words(seeds: list[str], sentences: list[tuple[str, int, int]], most_seeds: int, most_clean: int) -> tuple[np.ndarray, float]:
-    """Subsequence weights and intercept of the SVM over words."""
-    rng = np.random.default_rng(7)
-    vocabulary = sorted({w.strip(STRIP).lower() for s, y, _ in sentences if y == 0 for w in WORD.findall(s)} - {""})
-    vocabulary = [vocabulary[i] for i in rng.permutation(len(vocabulary))]
-    text = " ".join(vocabulary)
-    positive = [*seeds, *(disguised(w, rng) for w in seeds for _ in range(3))]
-    negative, land_clean = ["", *vocabulary[:6000]], vocabulary[:most_clean]  # a word of marks alone has no subsequence
-    land_toxic = [seeds[i] for i in np.unique(np.linspace(0, len(seeds) - 1, min(most_seeds, len(seeds))).astype(int))]
-    for _ in range(4):
-        landmarks = land_toxic + land_clean
-        k = kernel(landmarks, landmarks).astype(float)
-        s, u = np.linalg.eigh((k + k.T) / 2)
-        keep = s > 1e-4 * s[-1]
-        white = u[:, keep] / np.sqrt(s[keep])
-        x = kernel(positive + negative, landmarks) @ white
-        y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        weight = np.r_[np.full(len(positive), len(negative) / len(positive) / 8), np.ones(len(negative))]
-        weight[len(positive)] = len(negative) / 20
-        w = squared_hinge(x, y, np.maximum(weight, 0.05))
-        beta, v, bias = white @ w[:-1], np.zeros(SYMBOLS**3), w[-1]
-        for b, word in zip(beta, landmarks, strict=True):
-            at, value = phi(word)
-            v[at] += b * value
-        v = v.astype(np.float32)
-        scores = word_scores(encode(text), v)
-        hard = [vocabulary[i] for i in np.argsort(-scores, kind="stable")[:400] if scores[i] + bias > -0.6]
-        negative = list(dict.fromkeys([*negative, *hard]))  # the empty word stays first
-        land_clean = list(dict.fromkeys([*land_clean, *hard[:80]]))
-    return v, float(bias)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 2e-3) -> np.ndarray:
+    # Virtual examples again: toxic texts with characters put in their witnesses.
+    rng = np.random.default_rng(11)
+    hidden = [WORD.sub(lambda m: disguised(m[0], rng) if m[0].strip(STRIP).lower() in sure else m[0], t) for t in toxic]
+    hidden = [t for t, old in zip(hidden, toxic, strict=True) if t != old]
+    more = [np.r_[document_features(t, v, bias), highest_stretch(t, u)] for t in hidden]
+    y = np.array([y for y, _ in rows] + [1] * len(more), float)
+    weight = np.r_[np.ones(len(rows)), np.full(len(more), HIDDEN)]
+    return v, np.r_[bias, logistic(np.array([*x, *more]), y, weight)], u.astype(np.float32)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 40, ridge: float = 2e-3) -> np.ndarray:
     """Weights and intercept by Newton steps, classes weighing alike, with targets drawn in and a ridge."""
+    weight = np.ones(len(y)) if weight is None else weight
     middle, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.c_[(x - middle) / scale, np.ones(len(x))]
     n = np.array([(y == 0).sum(), (y == 1).sum()])
     if not n.all():
         return np.r_[np.zeros(x.shape[1]), -50.0]
-    target, weight, w = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2)), 1 / n[y.astype(int)], np.zeros(z.shape[1])
+    total = np.bincount(y.astype(int), weight)
+    target, weight, w = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2)), weight / total[y.astype(int)], np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
         gradient = z.T @ (weight * (p - target)) + ridge * w

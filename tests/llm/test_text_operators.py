@@ -210,6 +210,24 @@ def test_keep_good(spark, tricky):
     assert left.columns == tricky.columns and left.count() == len(TRICKY)
 
 
+def plain_ngrams(text):
+    """The n-grams of a text by size, in words and runs of marks; 2-grams of one word, and 3-grams with one word at both ends, are one."""
+    raw = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    w = re.findall("[0-9a-z\x80-\U0010ffff]+|[^\x00-\x20 0-9a-z\x80-\U0010ffff]+", raw)
+    return [w, ["2" if a == b else (a, b) for a, b in zip(w, w[1:], strict=False)], ["3" if a == c else (a, b, c) for a, b, c in zip(w, w[1:], w[2:], strict=False)]]
+
+
+def test_quality_features():
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "B", "b", " ", "  ", "!!", "é", "7", "\n", "the ", "The "]) for _ in range(rng.randint(0, 40)))
+        for want, got in zip(plain_ngrams(text), next(quality.features(text)), strict=True):
+            assert len(want) == len(got)
+            for i in range(len(want)):
+                for j in range(i):
+                    assert (want[i] == want[j]) == (got[i] == got[j]), text  # places tell n-grams apart (2**18 of them)
+
+
 def test_quality_dot_product():
     import numpy as np
 
@@ -220,36 +238,139 @@ def test_quality_dot_product():
         assert math.isclose(quality.score(t, w), 1 / (1 + math.exp(-s)), rel_tol=1e-9)
 
 
+def test_ftrl_updates():
+    """Weights after updates are those of a plain loop over places."""
+    rng = random.Random(3)
+    m = quality.Ftrl(4)
+    z, n = [0.0] * 17, [0.0] * 17
+    weight = lambda i: 0.0 if abs(z[i]) <= m.l1 else -(z[i] - math.copysign(m.l1, z[i])) / ((m.beta + math.sqrt(n[i])) / m.alpha + m.l2)
+    import numpy as np
+
+    for _ in range(200):
+        at = sorted(rng.sample(range(16), 4))
+        x, y = [rng.random() for _ in at], rng.randrange(2)
+        m.learn(np.array(at), np.array(x), y)
+        each = [*zip(at, x, strict=True), (16, 1.0)]
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in each)))
+        for i, v in each:
+            w, g = weight(i), (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / m.alpha * w
+            n[i] += g * g
+    assert np.allclose(m.weights(slice(None)), [weight(i) for i in range(17)], atol=1e-9)
+
+
+def plain_kernel(a, b):
+    """Common subsequences of three symbols, by a loop over places."""
+
+    def counted(word):
+        c, found = toxicity.encode(word).tolist(), {}
+        for x in range(len(c)):
+            for y in range(x + 1, len(c)):
+                for z in range(y + 1, min(len(c), x + toxicity.SPAN)):
+                    if toxicity.SKIP not in (c[x], c[y], c[z]) and c[y] != toxicity.EDGE:
+                        found[c[x], c[y], c[z]] = found.get((c[x], c[y], c[z]), 0) + toxicity.DECAY ** (z - x + 1)
+        full = sum(toxicity.DECAY ** (2 * (z - x + 1)) for x in range(len(c)) for y in range(x + 1, len(c)) for z in range(y + 1, min(len(c), x + toxicity.SPAN)))
+        return {k: v / math.sqrt(max(full, 1e-9)) for k, v in found.items()}
+
+    a, b = counted(a), counted(b)
+    return sum(v * b.get(k, 0) for k, v in a.items())
+
+
 def test_string_kernel_is_the_table():
-    """The collapsed table gives the sum of kernels; gapped and padded words stay near."""
+    """Kernel values are a loop's; the collapsed table gives their weighted sum; gapped and padded words stay near."""
     import numpy as np
 
     landmarks, beta = ["idiot", "scum", "lovely"], np.array([1.0, 0.5, -2.0])
-    v = np.zeros(toxicity.SYMBOLS**3)
-    for b, word in zip(beta, landmarks, strict=True):
-        at, x = toxicity.phi(word)
-        v[at] += b * x
-    words = ["idiot", "id.iot", "table", "x", "scummy"]
-    got = toxicity.word_scores(toxicity.encode(" ".join(words)), v.astype(np.float32))
-    assert np.allclose(got, toxicity.kernel(words, landmarks) @ beta, atol=1e-4)
+    words = ["idiot", "id.iot", "table", "x", "scummy", "aaaa", "é1é2"]
+    k = toxicity.kernel(words, landmarks)
+    assert np.allclose(k, [[plain_kernel(w, x) for x in landmarks] for w in words], atol=1e-5)
+    got = toxicity.word_scores(toxicity.encode(" ".join(words)), toxicity.collapsed(landmarks, beta))
+    assert np.allclose(got, k @ beta, atol=1e-4)
     k = toxicity.kernel(["i.d.iot", "idxiot", "table"], ["idiot"])[:, 0]
     assert k[0] > 3 * k[2] and k[1] > 3 * k[2]
+    many = landmarks + words + [f"w{i}ord{i % 7}" for i in range(40)]
+    white = toxicity.nystroem(many)
+    x = toxicity.kernel(many, many, white)
+    assert np.allclose(x @ x.T, toxicity.kernel(many, many), atol=1e-2)  # on landmarks Nystroem features give the kernel itself
+
+
+def test_svm_steps():
+    """Newton steps end where the loss has no slope."""
+    import numpy as np
 
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    toxic, clean = rng.random(300) * (x[:, 0] > 0.3), rng.random(300) * (x[:, 0] < 0.6)
+    w = toxicity.squared_hinge(x, toxic, clean, steps=60, chunk=64)
+    f = x @ w[:-1] + w[-1]
+    pull = -toxic * np.maximum(0, 1 - f) + clean * np.maximum(0, 1 + f)
+    assert np.allclose(x.T @ pull + toxicity.RIDGE * w[:-1], 0, atol=1e-3) and abs(pull.sum()) < 1e-3
 
-def test_toxic_seeds():
-    """A rare insult, and one in a fixed phrase, are seeds at every sample size; words of copies are not."""
+
+def test_pivots():
+    """Each landmark is the row that those before it span least."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, weight = rng.normal(size=(60, 12)), rng.random(60) + 0.5
+    k, found = x @ x.T, toxicity.pivots(x @ x.T, weight, 8)
+    for i, p in enumerate(found):
+        some = found[:i]
+        rest = np.diag(k) - (np.einsum("ij,jk,ki->i", k[:, some], np.linalg.inv(k[np.ix_(some, some)]), k[some]) if some else 0)
+        assert np.isclose((rest * weight).max(), rest[p] * weight[p], rtol=1e-6)
+    assert len(toxicity.pivots(x @ x.T, weight, 40)) <= 13
+
+
+def test_gapped_insults():
+    """Insults are learned from sentences that hold them, copies of one text count once, and disguises that training never saw are found."""
     rng = random.Random(5)
-    prose = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(12)) + "."
-    clean = [" ".join(prose() for _ in range(3)) for _ in range(1500)]
-    copied = prose() + " zebra crossing. " + prose()
-    toxic = [f"{prose()} {x} {prose()}" for x in ["Shut up you moron."] * 40 + ["a scumbag b."] * 12 + ["you idiot " + "x."] * 1300] + [copied + f" w{i}." for i in range(40)]
-    for n in (len(toxic), 92):
-        some = toxic[:52] + toxic[-40:] if n == 92 else toxic
-        places = toxicity.originals(some)
-        assert len({*places[-40:]}) == 1 and len({*places}) == len(some) - 39
-        rows = [(s, 0, i) for i, t in enumerate(clean) for s in toxicity.SENTENCE.split(t)] + [(s, 1, i) for i, t in zip(places, some, strict=True) for s in toxicity.SENTENCE.split(t)]
-        seeds = toxicity.seeds_of(rows, [len(clean), len({*places})])
-        assert {"moron", "scumbag"} <= {*seeds} and not {"zebra", "crossing"} & {*seeds}
+    syllables = ["th", "er", "ing", "an", "ed", "ou", "en", "ti", "st", "ha"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    prose = lambda: " ".join(word() for _ in range(12)) + "."
+    insults = ["moron", "scumbag", "clown", "worthless"]
+
+    def text(*more):
+        said = [prose() for _ in range(3)]
+        for w in more:
+            at = rng.randrange(3)
+            words = said[at].split()
+            words.insert(rng.randrange(len(words)), w)
+            said[at] = " ".join(words)
+        return "\n".join(said)
+
+    copied = text() + " zebra crossing. " + text()
+    rows = [(0, text()) for _ in range(600)] + [(1, text(*rng.choices(insults, k=2))) for _ in range(150)] + [(1, f"{copied} w{i}.") for i in range(40)]
+    assert len({*toxicity.originals([t for _, t in rows[-40:]])}) == 1
+    v, curve, u = toxicity.fit(rows)
+    said = lambda t: toxicity.logit(t, v, curve, u) > 0
+    hidden = [f"{w[:i]}{c}{w[i:]}" for w in insults for i in range(2, len(w) - 1) for c in "xq._"] + [f"{w[:3]}{w[4:]}" for w in insults if len(w) > 5]
+    found, flagged = sum(said(text(w)) for w in hidden), sum(said(text()) for _ in range(200))
+    assert found >= 0.85 * len(hidden) and flagged <= 4, (found, len(hidden), flagged)
+    assert not any(h in " ".join(t for _, t in rows) for h in hidden)
+    bare = sum(any(w in insults for w in text(h).split()) for h in hidden)
+    assert bare == 0  # a list of the insults themselves finds none of them
+
+
+def test_long_texts_by_segments(monkeypatch):
+    """Segments give what a text read whole gives."""
+    import numpy as np
+
+    from tessera.llm import hashing
+    from tessera.llm import near_duplicates as nd
+
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("abcdeé.!") for _ in range(rng.randint(1, 9))) for _ in range(4000)) + " " + "long" * 3000 + " tail end\n" * 30
+    table = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1)
+    v = np.random.default_rng(2).normal(size=toxicity.SYMBOLS**3).astype(np.float32)
+    u = np.random.default_rng(3).normal(size=(1 << toxicity.BITS) + 1)
+    read = lambda: [quality.score(text, table), quality.sparse(text)[1], nd.shingles(text), toxicity.document_features(text, v, 0.1)]
+    whole = read()
+    for size in (64, 1000):
+        monkeypatch.setattr(hashing, "SEGMENT", size)
+        monkeypatch.setattr(toxicity, "SEGMENT", size)
+        assert all(np.allclose(a, b) for a, b in zip(whole, read(), strict=True))
+        assert toxicity.highest_stretch(text, u) > u[-1]
+        assert "".join(toxicity.parts(text)) == text and b"".join(hashing.segments(text.encode())) == text.encode()
 
 
 def test_toxic_sentences():
@@ -264,7 +385,7 @@ def test_toxic_sentences():
     said = ["go home", "hurt the wall", "yourself", "w1 go w2", "do not hurt w5", "see for yourself w3", "go w4 and hurt", "w7 yourself go"]
     rows = [(0, text(*rng.sample(said, 3))) for _ in range(400)] + [(1, text(f"w{rng.randrange(300)} go hurt yourself", "go w8 home")) for _ in range(120)]
     v, curve, u = toxicity.fit(rows)
-    assert not v.any() and u.any()
+    assert u.any()
     fresh = [(0, text(*rng.sample(said, 3))) for _ in range(200)] + [(1, text(rng.choice(said), "go hurt yourself w2")) for _ in range(100)]
     got = [toxicity.logit(t, v, curve, u) > 0 for _, t in fresh]
     assert sum(got[200:]) >= 90 and sum(got[:200]) <= 10, (sum(got[:200]), sum(got[200:]))
