@@ -344,7 +344,8 @@ def test_gapped_insults():
     v, curve, u = toxicity.fit(rows)
     said = lambda t: toxicity.logit(t, v, curve, u) > 0
     hidden = [f"{w[:i]}{c}{w[i:]}" for w in insults for i in range(2, len(w) - 1) for c in "xq._"] + [f"{w[:3]}{w[4:]}" for w in insults if len(w) > 5]
-    found, flagged = sum(said(text(w)) for w in hidden), sum(said(text()) for _ in range(200))
+    pairs = [(w, rng.choice(hidden)) for w in hidden]  # two of them in a text, as the insults in training
+    found, flagged = sum(said(text(*p)) for p in pairs), sum(said(text()) for _ in range(200))
     assert found >= 0.85 * len(hidden) and flagged <= 4, (found, len(hidden), flagged)
     assert not any(h in " ".join(t for _, t in rows) for h in hidden)
     bare = sum(any(w in insults for w in text(h).split()) for h in hidden)
