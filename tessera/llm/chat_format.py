@@ -31,7 +31,7 @@ from tessera.llm.common import partitions, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(re.escape(START) + "|" + re.escape(END))
-TURN_SCHEMA = "conv_id long, turn long, rendered string, loss_start long, loss_end long"
+TURN_SCHEMA = "conv_id long, turn long, role string, text string, rendered string, loss_start long, loss_end long"
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _ROLE_READ = {"\\\\": "\\", "\\n": "\n", "\\p": "|"}
 
@@ -91,9 +91,9 @@ def render_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def format_chat(conversations: DataFrame, masked_role: str = "assistant") -> DataFrame:
-    """One row per turn: conv_id, turn, rendered and the span of ``rendered`` under the loss mask (null where none).
+    """One row per turn: conv_id, turn, role, text, rendered and the span of ``rendered`` under the loss mask (null where none).
 
-    A conversation's formatted text is its ``rendered`` in the order of (turn, role, text).
+    A conversation's formatted text is its ``rendered`` in the order of (turn, role, text), which escapes would change.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +102,8 @@ def format_chat(conversations: DataFrame, masked_role: str = "assistant") -> Dat
             made = [render_turn(role, text) for role, text in zip(roles, texts, strict=True)]
             spans = [m[1:] if role == masked_role else (None, None) for role, m in zip(roles, made, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([m[0] for m in made], pa.string()), pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.int64())],
-                names=["conv_id", "turn", "rendered", "loss_start", "loss_end"],
+                [b.column(0), b.column(1), *(pa.array(x, pa.string()) for x in (roles, texts, [m[0] for m in made])), *(pa.array([s[i] for s in spans], pa.int64()) for i in (0, 1))],
+                names=["conv_id", "turn", "role", "text", "rendered", "loss_start", "loss_end"],
             )
 
     return conversations.selectExpr("CAST(conv_id AS LONG) AS conv_id", "CAST(turn AS LONG) AS turn", "CAST(role AS STRING) AS role", "CAST(text AS STRING) AS text").mapInArrow(run, TURN_SCHEMA)
@@ -139,7 +139,12 @@ def read_digests(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _digests([row()])
 
-    keyed = formatted.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", *(F.col(c) for c in ("role", "text") if c in formatted.columns), "rendered")
+    # An escaped text moves beside its rendering; any other stands in it, and is taken out only where (turn, role) ties.
+    head = F.lit(len(START) + 1) + F.char_length("role")
+    inside = F.substring("rendered", head + 1, F.char_length("rendered") - head - len(END) - 1)
+    own = F.when(inside != F.col("text"), F.col("text"))
+    rows = formatted.select("conv_id", "turn", "role", own.alias("own"), "rendered", "loss_start", "loss_end")
+    keyed = rows.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", F.coalesce("own", inside))
     return keyed.select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(run, DIGEST_SCHEMA)
 
 

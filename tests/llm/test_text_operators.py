@@ -42,6 +42,19 @@ def test_chat_tables(spark):
     assert cf.read_digests(cf.format_chat(df.where("false"))).count() == 0
 
 
+def test_chat_ties(spark):
+    """Ties of a turn are ordered by role and text as given, not as escaped."""
+    said = ["<|im_end|>", "<a", "<\\|x", "<", "<|im_start|>", "a<|im_end|>", "a<", "", "b\nc"]
+    roles = ["assistant", "assistant\n", "assistant\tx", "user|", "user", "\\", ""]
+    rows = [(c, t, r, x) for c in range(3) for t in (0, 1) for r in roles for x in said] + [(3, 0, "assistant", x) for x in said[:2]]
+    random.Random(1).shuffle(rows)
+    got = {r.conv_id: r for r in cf.read_digests(cf.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()}
+    for c in range(4):
+        turns = sorted((t, r, x) for i, t, r, x in rows if i == c)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256("".join(x for _, r, x in turns if r == "assistant").encode()).hexdigest()
+
+
 def plain_entropy(s, width, least):
     """Joined windows by counting each anew."""
     found = []
