@@ -10,14 +10,16 @@ one cycle is computed (a fold over ``cycle`` slots in one row) and block k of a
 Nothing is dropped or repeated. Where a source ends before the others, its slots stay empty; ``balanced`` tells the documents
 up to the first such end, for which the bound holds.
 
-Scale: a source's ranks are counted in hash ranges of about ``range_rows`` documents, and offsets of ranges are summed, so a
-source with a third of all rows is many tasks' work. Broadcast are the cycle's slots: ``cycle`` rows, by default the
-least multiple of 1,024 that has a slot for each source; a given one must be no less than their number. The fold over a cycle
-is work of sources times slots in one task. Positions are counted in stretches of slots in the same way.
-
-Cases: a null source is a source of its own. Null ids are shuffled by row. Repeated ids are rows of their own (their order
-follows the input's). Sources without a given weight get the least, one share. An empty table gives no rows. Extra columns
-are ignored and may have any name.
+Scale: a source's ranks are counted in hash ranges of about ``range_rows`` documents, and offsets of ranges are summed in two
+steps, so a source with a third of all rows is many tasks' work and no task has all ranges. Rows of an id that is repeated more
+than ``range_rows`` times are dealt into ranges of their own by row. Broadcast are the cycle's slots: ``cycle`` rows, by
+default the least multiple of 1,024 that has a slot for each source; a given one must be no less than their number. The fold
+over a cycle is work of sources times slots in one task. Positions are counted in stretches of slots in the same way.
+
+Cases: a null source is a source of its own. Null ids are shuffled by row. Repeated ids are rows of their own, each with a
+position of its own (their order follows the input's; those of an id repeated more than ``range_rows`` times stand after the
+others of their hash range). Sources without a given weight get the least, one share. An empty table gives no rows. Extra
+columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, partitions, table
+from tessera.llm.common import fresh, materialise, partitions, sums_before, table, with_place
 
 
 def shares(counts: DataFrame, weights: dict[str, float] | None, temperature: float, cycle: int) -> DataFrame:
@@ -66,20 +68,26 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
     ``cycle`` None is the least multiple of 1,024 that has a slot for each source. ``weights`` are target weights by source; None takes each source's count to the power ``temperature``.
     """
-    rid = F.monotonically_increasing_id()
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), rid.alias("rid"))
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row"), F.col("rid"))))
-    base = materialise(base.withColumn("h", order), "mix-rows")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.monotonically_increasing_id().alias("rid"))
+    return _mixed(materialise(base, "mix-ids"), weights, temperature, cycle, block_rows, range_rows).drop("rid")
+
+
+def _mixed(base: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, cycle: int | None = None, block_rows: int = 16, range_rows: int = 2048) -> DataFrame:
+    """``mix`` of written rows (doc_id, source, rid), ``rid`` (any order, no two alike) kept."""
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row"), F.to_json(F.struct("rid")))))
     counts = materialise(base.groupBy("source").agg(F.count("*").alias("n")), "mix-counts")
     total = counts.agg(F.sum("n"), F.count("*")).first()
     cycle = cycle or 1024 * max(1, -(-(total[1] or 0) // 1024))
     if (total[1] or 0) > cycle:
         raise ValueError(f"{total[1]} sources share a cycle of {cycle} slots: raise cycle")
     digits = max(1, min(8, -(-max(1, (total[0] or 0) // range_rows).bit_length() // 4)))
-    base = base.withColumn("part", F.substring("h", 1, digits))
+    base = base.withColumn("h", order).withColumn("part", F.substring("h", 1, digits))
+    often = materialise(base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > range_rows).select(F.col("doc_id").alias("again")), "mix-repeated")
+    if often.limit(1).count():  # '~' sorts after hexadecimal digits
+        spread = F.concat("part", F.lit("~"), F.substring("h", 1, 16), F.substring(F.md5(F.to_json(F.struct("rid"))), 1, digits))
+        base = base.join(often, F.col("doc_id") == F.col("again"), "left").withColumn("part", F.when(F.col("again").isNull(), F.col("part")).otherwise(spread)).drop("again")
     sizes = base.groupBy("source", "part").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("source").alias("s2"), F.col("part").alias("p2"), before.alias("offset"))
+    offsets = sums_before(sizes, ["source"], "part", "c", F.substring("part", 1, (digits + 1) // 2)).select(F.col("source").alias("s2"), F.col("part").alias("p2"), F.col("before").alias("offset"))
     inner = F.row_number().over(W.partitionBy("source", "part").orderBy("h", "doc_id", "rid")) - 1
     ranked = base.withColumn("inner", inner).join(offsets, F.col("source").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
     ranked = ranked.select("doc_id", "rid", "source", (F.col("inner") + F.col("offset")).alias("rank"))
@@ -90,28 +98,32 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     weight_of = turns.where("turn = 0").select(F.col("source").alias("s4"), "w")
     slotted = ranked.join(F.broadcast(weight_of), F.col("source").eqNullSafe(F.col("s4")))
     slotted = slotted.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s3")) & (F.col("turn") == F.col("block") % F.col("w")))
-    slotted = materialise(slotted.select("doc_id", "source", "weight", "block", (F.floor(F.col("block") / F.col("w")) * cycle + F.col("at")).alias("slot"), "place"), "mix-slots")
+    slotted = materialise(slotted.select("doc_id", "rid", "source", "weight", "block", (F.floor(F.col("block") / F.col("w")) * cycle + F.col("at")).alias("slot"), "place"), "mix-slots")
 
-    # Positions: stretches of slots are counted, then slots within a stretch.
-    stretch = F.floor(F.col("slot") / 512)
-    per = slotted.groupBy("slot").agg(F.count("*").alias("c")).withColumn("stretch", stretch)
-    ahead = F.coalesce(F.sum("c").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    stretches = per.groupBy("stretch").agg(F.sum("c").alias("c")).select("stretch", ahead.alias("ahead"))  # a row for 512 slots
+    # Positions: slots are counted by stretches of 512, and those by 4,096 of them.
+    per = slotted.groupBy("slot").agg(F.count("*").alias("c")).withColumn("stretch", F.floor(F.col("slot") / 512))
+    stretches = sums_before(per.groupBy("stretch").agg(F.sum("c").alias("c")), [], "stretch", "c", F.floor(F.col("stretch") / 4096)).select("stretch", F.col("before").alias("ahead"))
     within = F.coalesce(F.sum("c").over(W.partitionBy("stretch").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = per.withColumn("within", within).join(stretches, "stretch").select("slot", (F.col("ahead") + F.col("within")).alias("start"))
     ends = slotted.groupBy("source").agg(F.max("slot").alias("last")).agg(F.min("last").alias("first_end"))
     lined = F.row_number().over(W.partitionBy("slot").orderBy("place")) - 1
     return (
         slotted.withColumn("lined", lined).join(starts, "slot").join(F.broadcast(ends))
-        .select("doc_id", "source", "weight", "block", "slot", "place", (F.col("start") + F.col("lined")).alias("position"), (F.col("slot") <= F.col("first_end")).alias("balanced"))
+        .select("doc_id", "rid", "source", "weight", "block", "slot", "place", (F.col("start") + F.col("lined")).alias("position"), (F.col("slot") <= F.col("first_end")).alias("balanced"))
     )
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` in the order of the mixture, same rows and columns: sorted within range partitions of ascending position."""
-    at = mix(docs, **options).groupBy("doc_id").agg(F.min("position").alias("position"))
-    placed = docs.join(at, docs["doc_id"].eqNullSafe(at["doc_id"])).select(*(docs[c] for c in docs.columns), F.col("position").alias("__position"))
-    return placed.repartitionByRange(partitions(docs.sparkSession), "__position").sortWithinPartitions("__position").drop("__position")
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` in the order of the mixture, same rows and columns: sorted within range partitions of ascending position.
+
+    Rows are told apart by the file and place they were read from, so null and repeated ids have positions of their own.
+    """
+    path, row, at = (fresh(docs, c) for c in ("mix_path", "mix_row", "mix_position"))
+    placed = with_place(docs, path, row, "mix-rows")
+    base = materialise(placed.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.struct(F.col(path).alias("path"), F.col(row).alias("row")).alias("rid")), "mix-ids")
+    found = _mixed(base, **options).select(F.col("rid.path").alias("found_path"), F.col("rid.row").alias("found_row"), F.col("position").alias("found_position"))
+    both = placed.join(found, (placed[path] == found["found_path"]) & (placed[row] == found["found_row"])).select(*(placed[c] for c in docs.columns), found["found_position"].alias(at))
+    return both.repartitionByRange(partitions(docs.sparkSession), at).sortWithinPartitions(at).drop(at)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

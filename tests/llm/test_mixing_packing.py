@@ -1,5 +1,6 @@
 """Source mixing, packing and the pipeline."""
 
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -73,6 +74,24 @@ def test_mixture_order(spark, tmp_path):
     assert order == want
 
 
+def test_mixing_repeated_ids(spark, tmp_path):
+    """Rows of null and of repeated ids are interleaved like any others, and a repeated id is many ranges' work."""
+    rows = [(None, f"n{i}", "a") for i in range(300)] + [(7, f"s{i}", "b") for i in range(300)] + [(7, "same", "c")] * 200 + [(i, f"t{i}", "d") for i in range(100, 300)]
+    docs = table(spark, rows).withColumnsRenamed({"mark": "mix_path", "h": "mix_position", "sig": "_mix_row"})
+    got = mixing.mix(docs, block_rows=4, range_rows=16, cycle=16).collect()
+    assert sorted(r.position for r in got) == list(range(1000)) and Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[2]) for r in rows)
+    for part in (docs, spark.read.parquet(mixing.materialise(docs, "read").inputFiles()[0].rsplit("/", 1)[0])):
+        made = mixing.mix_rows(part, block_rows=4, range_rows=16, cycle=16)
+        assert made.columns == docs.columns
+        mixed = made.collect()
+        assert Counter((r.doc_id, r.text, r.source) for r in mixed) == Counter((r[0], r[1], r[2]) for r in rows)
+        order = [r.source for r in mixed]
+        plan = [r.source for r in sorted(got, key=lambda r: r.position)]
+        assert order == plan  # the same schedule
+        runs = max(sum(1 for _ in g) for _, g in itertools.groupby(order[:700]))
+        assert runs <= 16, runs
+
+
 def check_packed(got, texts):
     """Every id of every document once, in gapless sequences."""
     encode = packing.loaded(None)
