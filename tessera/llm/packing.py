@@ -1,16 +1,19 @@
 """Sequence packing by the online sum-of-squares rule.
 
 Every document is tokenised, closed with an end id and placed in windows of ``capacity`` ids. A document longer than a
-window fills whole windows first; what is left is one item. An item of size s goes to the open window whose fill level h
-makes the sum of squared level counts, over the partially filled levels, least: with N the level array, placing at h
-changes it by 2(N[h+s] - N[h]) + 2, completing a window by 1 - 2N[h], opening one by 2N[s] + 1. Ties take the fullest
-window. When a task ends, or has ``most_open`` open windows, open windows are closed out: ids of the emptiest fill the gaps
-of the fullest, so at most one window of a task stays partial, and that one is cut into lengths that are powers of two,
-which need no padding.
+window fills whole windows first; what is left is one item. Fill levels are steps of capacity / ``levels`` ids, rounded up.
+An item goes to the open window whose level h makes the sum of squared level counts, over the partially filled levels, least:
+with N the level array and g the level after placing, an open window changes it by 2(N[g] - N[h]) + 2, or 1 - 2N[h] where it
+becomes full, and a new one by 2N[g] + 1. Ties take the fullest window. A window with less than a step of room is full by
+this rule; what it lacks is cut from the head of the items that follow, before they are placed, so it has no padding.
 
-Scale: one pass without a shuffle. A task packs the rows of its own split in reading order, holds at most ``most_open``
-windows (4 bytes an id) and one document, and keeps a bounded word cache. A sequence id is (task, count in the task), so a
-task that runs again gives the same rows.
+When a task ends, open windows are closed out: ids of the emptiest fill the gaps of the fullest, so at most one window of a
+task stays partial, and that one is cut into lengths that are powers of two, which need no padding.
+
+Scale: one pass without a shuffle. A task packs the rows of its own split in reading order. It holds the open windows (4
+bytes an id), one document and a bounded word cache. Open windows are about as many as levels in use, however many the
+documents; for sizes that hardly fit together, the fullest beyond ``most_open`` is filled from the emptiest, one at a time, and
+the level array stays. A sequence id is (task, count in the task), so a task that runs again gives the same rows.
 
 Cases: null text is empty and gives a document of the end id alone. Null and repeated doc_ids are packed as rows of their
 own. An empty table gives no rows. Extra columns are never read.
@@ -93,88 +96,116 @@ def loaded(path: str | None) -> WordTokenizer:
 
 
 class Packer:
-    """Online packing of one task's documents; rows come out through ``take``."""
+    """Online packing of one task's documents; rows come out through ``take``. ``made`` counts windows by what completed them."""
 
-    def __init__(self, task: int, capacity: int = 4096, most_open: int = 2048):
-        self.capacity, self.most_open = capacity, most_open
+    def __init__(self, task: int, capacity: int = 4096, levels: int = 128, most_open: int = 2048):
+        self.capacity, self.levels, self.step, self.most_open = capacity, levels, -(-capacity // levels), most_open
         self.base, self.count = task << 33, 0
-        self.level = np.zeros(capacity + 1, np.int64)
-        self.open: dict[int, list[list]] = {}  # fill level -> windows, each a list of (doc, start, ids, tokens of the doc)
-        self.n_open, self.rows = 0, []
+        self.level = np.zeros(levels + 1, np.int64)
+        self.top = np.full(levels + 1, 2 * capacity, np.int64)  # fill of each level's last window
+        self.open: list[list] = [[] for _ in range(levels + 1)]  # by level: (fill, window), a window a list of (doc, start, ids, tokens of the doc)
+        self.short: list[tuple] = []  # (fill, window) with less than a step of room
+        self.rows, self.made = [], {"whole": 0, "rule": 0, "evicted": 0, "closed": 0}
 
-    def _emit(self, window: list) -> None:
+    def _emit(self, window: list, how: str) -> None:
         at, offset = self.base + self.count, 0
         self.count += 1
+        self.made[how] += 1
         for doc, start, ids, total in window:
             n = len(ids) // 4
             self.rows.append((doc, start, n, zlib.crc32(ids), total, at, offset))
             offset += n
 
     def add(self, doc: int | None, ids: bytes) -> None:
-        size, total, width = len(ids) // 4, len(ids) // 4, 4 * self.capacity
-        for start in range(0, size - size % self.capacity, self.capacity):
-            self._emit([(doc, start, ids[4 * start : 4 * start + width], total)])
-        size %= self.capacity
-        if size:
-            self._place((doc, total - size, ids[len(ids) - 4 * size :], total), size)
-            if self.n_open >= self.most_open:
-                self.close_out()
+        total, width = len(ids) // 4, 4 * self.capacity
+        whole = total - total % self.capacity
+        for start in range(0, whole, self.capacity):
+            self._emit([(doc, start, ids[4 * start : 4 * start + width], total)], "whole")
+        at = whole
+        while at < total and self.short:
+            fill, window = self.short.pop()
+            n = min(total - at, self.capacity - fill)
+            window.append((doc, at, ids[4 * at : 4 * (at + n)], total))
+            self._hold(fill + n, window)
+            at += n
+        if at < total:
+            self._place((doc, at, ids[4 * at :], total), total - at)
+            if int(self.level.sum()) > self.most_open:
+                self._evict()
+
+    def _grade(self, fill):
+        return -(-fill // self.step)
 
     def _place(self, item: tuple, size: int) -> None:
-        level, room = self.level, self.capacity - size
-        here = level[1 : room + 1]
-        change = 2 * (level[size + 1 :] - here) + 2
-        if room:
-            change[-1] = 1 - 2 * here[-1]  # level[capacity] isn't a partial level
-            change = np.where(here > 0, change, np.iinfo(np.int64).max)
-            best = room - int(np.argmin(change[::-1]))
-            if change[best - 1] <= 2 * level[size] + 1:
-                window = self.open[best].pop()
-                level[best] -= 1
-                self.n_open -= 1
-                window.append(item)
-                return self._hold(window, best + size)
-        return self._hold([item], size)
-
-    def _hold(self, window: list, fill: int) -> None:
+        n, after, fill = self.level, self._grade(self.top + size), size
+        partial = after < self.levels
+        change = np.where(partial, 2 * (n[np.where(partial, after, 0)] - n) + 2, 1 - 2 * n)
+        change[self.top + size > self.capacity] = np.iinfo(np.int64).max
+        best = self.levels - int(np.argmin(change[::-1]))
+        alone = self._grade(size)
+        window = []
+        if change[best] <= (2 * n[alone] + 1 if alone < self.levels else 0):
+            fill, window = self._lift(best)
+            fill += size
+        window.append(item)
+        self._hold(fill, window)
+
+    def _lift(self, level: int, at: int = -1) -> tuple:
+        """Take a window out of its level."""
+        mine = self.open[level]
+        found = mine.pop(at)
+        self.level[level] -= 1
+        self.top[level] = mine[-1][0] if mine else 2 * self.capacity
+        return found
+
+    def _hold(self, fill: int, window: list) -> None:
+        level = self._grade(fill)
         if fill == self.capacity:
-            return self._emit(window)
-        self.open.setdefault(fill, []).append(window)
-        self.level[fill] += 1
-        self.n_open += 1
-        return None
-
-    def close_out(self, last: bool = False) -> None:
-        """Fill the fullest windows with ids of the emptiest, until at most one is partial; ``last`` ends that too."""
-        windows = [(h, w) for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        self.open, self.n_open = {}, 0
-        self.level[:] = 0
-        while len(windows) > 1:
-            fill, window = windows[0]
-            spare, donor = windows[-1]
-            gap = self.capacity - fill
-            while gap and donor:
-                doc, start, ids, total = donor.pop()
-                n = len(ids) // 4
-                cut = max(0, n - gap)  # the donor keeps the head
-                window.append((doc, start + cut, ids[4 * cut :], total))
-                gap, spare = gap - (n - cut), spare - (n - cut)
-                if cut:
-                    donor.append((doc, start, ids[: 4 * cut], total))
-            if spare:
-                windows[-1] = (spare, donor)
-            else:
-                windows.pop()
-            if gap:
-                windows[0] = (self.capacity - gap, window)
+            self._emit(window, "rule")
+        elif level >= self.levels:
+            self.short.append((fill, window))
+        else:
+            self.open[level].append((fill, window))
+            self.level[level] += 1
+            self.top[level] = fill
+
+    def _evict(self) -> None:
+        """Fill the fullest open window from the emptiest."""
+        some = np.flatnonzero(self.level)
+        full, spare = self._lift(int(some[-1])), self._lift(int(np.flatnonzero(self.level)[0]))
+        for fill, window in self._fill(full, spare):
+            if fill == self.capacity:
+                self._emit(window, "evicted")
             else:
-                self._emit(windows.pop(0)[1])
+                self._hold(fill, window)
+
+    def _fill(self, full: tuple, spare: tuple) -> list[tuple]:
+        """The two windows after ids of the second's end have filled the first's gap; one without ids is left out."""
+        (fill, window), (rest, donor) = full, spare
+        gap = self.capacity - fill
+        while gap and donor:
+            doc, start, ids, total = donor.pop()
+            n = len(ids) // 4
+            cut = max(0, n - gap)  # the donor keeps the head
+            window.append((doc, start + cut, ids[4 * cut :], total))
+            gap, rest = gap - (n - cut), rest - (n - cut)
+            if cut:
+                donor.append((doc, start, ids[: 4 * cut], total))
+        return [(self.capacity - gap, window)] + ([(rest, donor)] if rest else [])
+
+    def close_out(self) -> None:
+        """Fill the fullest windows with ids of the emptiest, until at most one is partial; that one ends in powers of two."""
+        windows = [*sorted(self.short, key=lambda w: -w[0]), *((f, w) for mine in self.open[::-1] for f, w in mine[::-1])]
+        self.open, self.short = [[] for _ in self.open], []
+        self.level[:], self.top[:] = 0, 2 * self.capacity
+        while len(windows) > 1:
+            filled, *rest = self._fill(windows[0], windows.pop())
+            windows += rest
+            windows[0] = filled
+            if filled[0] == self.capacity:
+                self._emit(windows.pop(0)[1], "closed")
         if windows:
-            fill, window = windows[0]
-            if not last:
-                self._hold(window, fill)
-            else:
-                self._powers(fill, window)
+            self._powers(*windows[0])
 
     def _powers(self, fill: int, window: list) -> None:
         pieces = window[::-1]
@@ -188,7 +219,7 @@ class Packer:
                 if len(ids) > 4 * n:
                     pieces.append((doc, start + n, ids[4 * n :], total))
                 need -= n
-            self._emit(own)
+            self._emit(own, "closed")
             fill -= part
 
     def take(self) -> list:
@@ -196,7 +227,7 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, most_open: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, levels: int = 128, most_open: int = 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``tokenizer`` is the vocabulary file's path on the executors (None: the installed public word vocabulary).
@@ -209,13 +240,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = loaded(tokenizer), np.array([end_id], "<u4").tobytes()
-        packer = Packer(TaskContext.get().partitionId(), capacity, most_open)
+        packer = Packer(TaskContext.get().partitionId(), capacity, levels, most_open)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 packer.add(doc, encode(text.as_py() or "") + end)
             if rows := packer.take():
                 yield batch(rows)
-        packer.close_out(last=True)
+        packer.close_out()
         if rows := packer.take():
             yield batch(rows)
 

@@ -130,29 +130,71 @@ def test_packing(spark, tricky, empty):
     assert padding == 0
 
 
-def test_sum_of_squares_choice():
+def lengths(rows):
+    sizes = Counter()
+    for r in rows:
+        sizes[r[5]] += r[2]
+    return sizes
+
+
+@pytest.mark.parametrize("levels", [16, 4])
+def test_sum_of_squares_choice(levels):
     """The window chosen is the one a search over all choices would take."""
     rng = np.random.default_rng(2)
-    p = packing.Packer(0, capacity=16, most_open=10**6)
-    for i in range(500):
-        size, before = int(rng.integers(1, 16)), p.level.copy()
+    p = packing.Packer(0, capacity=16, levels=levels)
+    step, before = 16 // levels, Counter()
+    for i in range(800):
+        size, done = int(rng.integers(1, 16)), sum(p.made.values())
+        fills = sorted(f for mine in p.open for f, _ in mine)
+        lack = sum(16 - f for f, _ in p.short)
         p.add(i, b"\0" * 4 * size)
-        after = p.level.copy()
-
-        def squares(h, before=before, size=size):
-            n = before.copy()
-            n[h] -= h > 0
-            if h + size < 16:
-                n[h + size] += 1
-            return int((n[1:16] ** 2).sum())
-
-        best = min(squares(h) for h in range(16 - size + 1) if h == 0 or before[h])
-        assert int((after[1:16] ** 2).sum()) == best and after[16] == 0
-    p.close_out(last=True)
-    sizes = Counter()
-    for r in p.take():
-        sizes[r[5]] += r[2]
-    assert all(s == 16 or s & (s - 1) == 0 for s in sizes.values()) and sum(s != 16 for s in sizes.values()) <= 4
+        if size <= lack:
+            continue
+        size -= lack
+        grade = lambda f: -(-f // step)
+
+        def squares(fills):
+            n = Counter(grade(f) for f in fills)
+            return sum(c * c for level, c in n.items() if level < levels)
+
+        after = sorted(f for mine in p.open for f, _ in mine)
+        lasts = {grade(f): f for f in before} if before else {}
+        choices = [squares([*fills, size])]
+        for f in set(fills):
+            if f + size <= 16 and (levels == 16 or lasts.get(grade(f), f) == f):
+                left = list(fills)
+                left.remove(f)
+                choices.append(squares([*left, f + size]))
+        assert squares(after) <= min(choices) or levels != 16, (fills, size, after)
+        assert levels == 16 or squares(after) <= squares([*fills, size])
+        assert [int(c) for c in p.level[1:levels]] == [sum(grade(f) == x for f in after) for x in range(1, levels)] and p.level[0] == p.level[levels] == 0
+        before = {m[-1][0]: 1 for m in p.open if m}
+        assert sum(p.made.values()) >= done
+    p.close_out()
+    assert all(s == 16 or s & (s - 1) == 0 for s in lengths(p.take()).values())
+
+
+def test_windows_are_completed_by_the_rule():
+    """Nearly all windows are filled by the rule, open ones stay few, and no more than ``most_open`` where sizes don't fit."""
+    rng = np.random.default_rng(4)
+    p, most = packing.Packer(0), 0
+    sizes = np.minimum(np.exp(rng.normal(6.2, 1.1, 6000)).astype(int) + 1, 60_000)
+    for i, size in enumerate(sizes.tolist()):
+        p.add(i, b"\0" * 4 * size)
+        most = max(most, int(p.level.sum()) + len(p.short))
+    before = dict(p.made)
+    p.close_out()
+    total = sum(p.made.values())
+    assert before["evicted"] == 0 and most <= 150 and p.made["closed"] <= 0.03 * total, (p.made, most)
+    assert sum(lengths(p.take()).values()) == sizes.sum()
+    p = packing.Packer(0, most_open=40)
+    for i in range(500):  # no two fit in one window
+        p.add(i, b"\0" * 4 * 2500)
+        assert p.level.sum() <= 40
+    evicted = p.made["evicted"]
+    p.close_out()
+    found = lengths(p.take())
+    assert evicted > 200 and sum(found.values()) == 500 * 2500 and sum(s != 4096 for s in found.values()) <= 12
 
 
 def test_pipeline(spark):
