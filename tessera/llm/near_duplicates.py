@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, partitions, table, text_of, without
+from tessera.llm.common import fresh, materialise, partitions, table, text_of, without
 from tessera.llm.components import components, local_labels
 from tessera.llm.hashing import U, segments, span_hashes
 
@@ -316,10 +316,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate class, that of the least doc_id; same columns."""
-    seen = materialise(near_duplicates(docs, with_kept=True, **options).select("doc_id", F.col("text_md5").alias("__md5"), "kept"), "decisions")
+    key = fresh(docs, "text_md5")
+    seen = materialise(near_duplicates(docs, with_kept=True, **options).select("doc_id", F.col("text_md5").alias(key), "kept"), "decisions")
     # Rows alike in id and text are all marked kept: all but one are dropped.
-    seen = seen.unionByName(seen.groupBy("doc_id", "__md5").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "__md5", F.lit(False).alias("kept")))
-    return without(docs.withColumn("__md5", F.md5(text_of())), seen, "__md5").drop("__md5")
+    seen = seen.unionByName(seen.groupBy("doc_id", key).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", key, F.lit(False).alias("kept")))
+    return without(docs.withColumn(key, F.md5(text_of())), seen, key).drop(key)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,30 @@ def test_exact_small_chunks_and_weak_identifiers(spark):
 def test_chunks_are_the_text(spark):
     df = spark.createDataFrame([(t or "",) for _, t in TRICKY], "t string").select("t", chunks(F.col("t"), 16, 64).alias("c"))
     for r in df.collect():
-        assert "".join(r.c) == r.t and all(0 < len(x) <= 64 for x in r.c)
+        assert b"".join(r.c) == r.t.encode() and all(0 < len(x) <= 64 for x in r.c)
+
+
+def test_cuts_follow_content(spark):
+    """In any script, texts that share a stretch share most of its chunks wherever it stands."""
+    rng = random.Random(8)
+    scripts = ["etaoin shrdlu,.", "абвгдежз ийкл", "日本語文字列漢字中国東京大阪語彙。", "0123456789abcdef", "ابتثجحخ دذرز", "กขฃคฅฆงจฉชซ"]
+    rows = []
+    for i, letters in enumerate(scripts):
+        text = "".join(rng.choice(letters) for _ in range(60_000))
+        rows += [(i, 0, text), (i, 1, "new " + "".join(rng.choice(letters) for _ in range(777)) + text)]
+    got = {(r.i, r.k): r.c for r in spark.createDataFrame(rows, "i int, k int, t string").select("i", "k", chunks(F.col("t")).alias("c")).collect()}
+    for i, letters in enumerate(scripts):
+        a, b = got[i, 0], got[i, 1]
+        assert sum(x in {*b} for x in a) >= 0.7 * len(a), (letters, len(a), sum(x in {*b} for x in a))
+        assert sum(len(x) == 8192 for x in a) <= 0.1 * len(a), letters
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns that the stages' own would hide stay as they are."""
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z"), (2, "A b", "x", "y", "z"), (3, "c", None, "y", "z")], "doc_id long, text string, text_sha256 string, _text_md5 string, text_md5 string")
+    for stage in (drop_exact_copies, nd.keep_one_of_each):
+        left = stage(docs)
+        assert left.columns == docs.columns and {tuple(r)[2:] for r in left.collect()} == {("x", "y", "z"), (None, "y", "z")}
 
 
 def words_of(text):
