@@ -6,19 +6,22 @@ of as many independent permutations). Of each bin the ``chosen`` least are taken
 hashed to one component. Two texts agree in a component when they share the least k-mers *and* their order, so the share of
 equal components falls with edit distance, not only with the k-mer sets. Bins that are empty in both texts don't count.
 
-Scale: documents are dealt into ranges of doc_id by cut points from a sketch (any cuts give the same rows), each range is
-sorted and streamed, and the first document of a range is added to the range before it, so "the next document" needs no
-global window. One shuffle of the texts; a task holds one Arrow batch and two documents. What reaches the driver is one
-number per range.
+Scale: documents are dealt into ranges of their order (doc_id, then text and place), one task each and about ``range_mb`` of
+input, by cut points from a sample of the order's columns. So no id, null or repeated, fills a task of its own, and any cuts
+give the same rows. Each range is sorted and streamed, and the first document of a range is added to the range before it, so
+"the next document" needs no global window. One shuffle of the texts; a task holds one Arrow batch and two documents. What
+reaches the driver is a bounded number of sampled keys, and one for each of at most ``most_ranges`` ranges.
 
 Cases: null text counts as empty; an empty text has no k-mer and all components empty, two empty texts are alike 1, an empty
-and another 0. A text shorter than k has one k-mer, itself. Order is by doc_id, nulls first, repeated ids by text. After the
-last document comes the first; a single document is its own next. An empty table gives no rows. Extra columns are never read.
+and another 0. A text shorter than k has one k-mer, itself. Order is by doc_id, nulls first, repeated ids by the first 64
+characters of the text, then by a hash of it and by place (rows alike in both are interchangeable). After the last document
+comes the first; a single document is its own next. An empty table gives no rows. Extra columns are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import partitions, table, text_of
+from tessera.llm.common import partitions, table, text_of, with_place
 
 U = np.uint64
 EMPTY = 0xFFFFFFFF
@@ -118,30 +121,48 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, chosen: int = 2, bins: int = 128) -> DataFrame:
+#: Columns of the order; any two rows differ in one.
+ORDER = ("known", "doc_id", "head", "tie", "file", "row")
+
+
+def _cuts(keys: DataFrame, ranges: int, each: int = 24) -> list[tuple]:
+    """At most ``ranges`` - 1 ascending keys that part the rows evenly, from a sample by hash of about ``each`` a range."""
+    n = keys.count()
+    if not n or ranges < 2:
+        return []
+    share = max(1, n // (each * ranges))
+    found = sorted(tuple(r) for r in keys.where(F.pmod(F.xxhash64(F.lit(9), "file", "row"), F.lit(share)) == 0).collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)} - {found[0]}) if found else []
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8, chosen: int = 2, bins: int = 128, range_mb: int = 16, most_ranges: int = 20_000) -> DataFrame:
     """Fingerprints of ``docs`` and of their edited texts (``SCHEMA``), with likeness to the edited and the next document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ranges = 4 * partitions(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], F.lit(20 * ranges)).alias("c")).first()["c"]
-    cuts = np.unique(np.array(cuts or [], np.int64))
-
-    @F.pandas_udf("long")
-    def range_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        place = np.zeros(len(ids), np.int64)
-        place[known] = np.searchsorted(cuts, ids[known].astype(np.int64).to_numpy(), "right")
+    rows = with_place(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), "path", "row", "fingerprint-rows")
+    rows = rows.select(
+        F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.substring("text", 1, 64).alias("head"), F.xxhash64("text").alias("tie"), F.xxhash64("path").alias("file"), "row", "text"
+    )
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the input, by the files' sizes
+    ranges = min(most_ranges, max(partitions(spark), size // (range_mb << 20)))
+    cuts = _cuts(rows.select(*ORDER), ranges)
+    n_null = sum(not c[0] for c in cuts)  # cuts among null ids come first
+    firsts = np.array([c[1] for c in cuts[n_null:]], np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(known: pd.Series, ids: pd.Series, head: pd.Series, tie: pd.Series, file: pd.Series, row: pd.Series) -> pd.Series:
+        known, ids = known.to_numpy(bool), ids.to_numpy()
+        place = n_null + np.searchsorted(firsts, ids, "left").astype(np.int32)
+        for i in np.flatnonzero(~known | np.isin(ids, firsts)):  # where the id is no answer the whole key decides
+            place[i] = bisect_right(cuts, (bool(known[i]), int(ids[i]), head.iat[i], int(tie.iat[i]), int(file.iat[i]), int(row.iat[i])))
         return pd.Series(place)
 
-    dealt = rows.select(range_of("doc_id").alias("part"), F.lit(0).alias("added"), "doc_id", "text")
-    firsts = dealt.groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("key")).orderBy("part").collect()  # one row a range
-    to = [(firsts[i - 1]["part"], r["key"]) for i, r in enumerate(firsts)]
-    heads = spark.createDataFrame(to, "part long, key long") if to else spark.createDataFrame([], "part long, key long")
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    # With repeated ids the first is the one of the least text.
-    following = rows.join(F.broadcast(heads), key == F.col("key")).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-    every = dealt.unionByName(following.select("part", F.lit(1).alias("added"), "doc_id", "text"))
-    keyed = every.repartition(partitions(spark), "part").sortWithinPartitions("part", "added", "doc_id", "text")
+    dealt = rows.select(range_of(*ORDER).alias("part"), F.lit(0).alias("added"), *ORDER, "text")
+    starts = dealt.groupBy("part").agg(F.min(F.struct(*ORDER)).alias("key")).orderBy("part").collect()  # one row a range
+    to = [(starts[i - 1]["part"], r["key"]["file"], r["key"]["row"]) for i, r in enumerate(starts)]
+    heads = spark.createDataFrame(to, "part int, file long, row long")
+    following = rows.join(F.broadcast(heads), ["file", "row"]).select("part", F.lit(1).alias("added"), *ORDER, "text")
+    every = dealt.unionByName(following).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "added", *ORDER)
+    keyed = every.select("part", "added", F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # part, doc_id, text, signature

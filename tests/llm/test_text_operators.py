@@ -182,6 +182,24 @@ def test_fingerprint_neighbours(spark, rows):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    """Null and repeated ids, of equal and of long texts too, are dealt over all ranges, and every document still meets its next."""
+    monkeypatch.setattr(om, "partitions", lambda spark: 16)
+    rows = [(None, f"n{i % 60} {'x' * (i % 50)}") for i in range(200)] + [(None, "")] * 150 + [(7, f"seven {i}") for i in range(200)] + [(-3, "same " * 30)] * 100 + [(i, f"t{i} " * 40) for i in range(20, 120)] + [(10**6, TRICKY[10][1])]
+    df = table(spark, rows, 5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for i, (doc, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        made = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        want.append((doc, len(text), hashlib.sha256(made.encode()).hexdigest(), om.shown(om.signature(text))))
+    found = om.fingerprints(df)
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 0.2 * len(rows), sizes
+
+
 def test_fingerprints_of_nothing(empty):
     assert om.fingerprints(empty).count() == 0
 
