@@ -4,14 +4,16 @@ Texts are sets of hashed five-word shingles. Texts with equal sets are one class
 signatures (128 values of 16 bits) are cut into 32 bands of 4; classes that share a band are candidates, which misses a
 pair of similarity 0.8 once in 20 million. Candidate pairs are compared 16 values at a time: with a uniform prior, m
 matches of n give the posterior probability P(Bin(n + 1, t) <= m) of reaching threshold t, and a pair goes as soon as it is
-below ``tolerance``. What is left joins into candidate groups, in which all pairs are verified exactly by the sizes of set
-intersections; their links give the number of links of each document, and the classes.
+below ``tolerance``. The pairs that are left join classes into candidate groups, which bring their members' signatures and
+shingle sets together once. There those same pairs (a shared band, not pruned), and no others, are verified exactly by the
+sizes of set intersections; their links give the number of links of each document, and the classes.
 
 Scale
 - A bucket that has the members of another band's is read once; a pair counts only in the first band that it shares.
-- A bucket or group of any size is dealt into blocks, and pairs of blocks are units of work for many tasks: a unit holds at
-  most two blocks. Units return spanning edges and counts, never their pairs, so nothing is emitted with the square of a
-  group; nothing is capped.
+- A bucket or group of any size is dealt into blocks (of at most ``group_block`` members or ``block_mb`` of sets, in groups),
+  and pairs of blocks are units of work for many tasks: a unit holds at most two blocks. Units return spanning edges and
+  counts, never their pairs, so nothing is emitted with the square of a group; nothing is capped. A member of a group of n
+  meets n / ``group_block`` blocks, so a group of n different near copies costs n * n / ``group_block`` rows and n * n pairs.
 - Bucket tables hold 16 bytes a band and class; signatures move for members of shared buckets only, and shingle sets once,
   for members of candidate groups only.
 - Components are found in the shared folder, round by round; no links reach the driver.
@@ -28,13 +30,14 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialise, partitions, table, text_of, without
+from tessera.llm.common import fresh, materialise, partitions, table, text_of, with_place, without
 from tessera.llm.components import components, local_labels
 from tessera.llm.hashing import U, segments, span_hashes
 
@@ -161,6 +164,19 @@ def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, l
     return keep[shared[keep]]
 
 
+def not_pruned(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which pairs share a band and are not pruned."""
+    keep = np.arange(len(a))
+    matches, shared = np.zeros(len(a), np.int32), np.zeros(len(a), bool)
+    for step, most in enumerate(least):
+        lo = step * STEP
+        equal = sig[a[keep], lo : lo + STEP] == sig[b[keep], lo : lo + STEP]
+        matches[keep] += equal.sum(1, dtype=np.int32)
+        shared[keep] |= equal.reshape(len(keep), STEP // ROWS, ROWS).all(2).any(1)
+        keep = keep[matches[keep] >= most]
+    return keep[shared[keep]]
+
+
 def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of sets ``rows`` with sets ``columns``; memory is bounded by ``width``."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -180,15 +196,16 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray,
     return out.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = 1e-6, bucket_block: int = 512, group_block: int = 768, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = 1e-6, bucket_block: int = 512, group_block: int = 128, block_mb: float = 4, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id, class_size (documents), n_links (other documents at ``threshold`` or more).
 
     ``with_kept`` adds text_md5 and kept: true for the row of least (doc_id, text_md5) in its class, null ids last.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    told = rows.select("doc_id", "text", F.md5("text").alias("text_md5")) if with_kept else rows.select("doc_id", "text", F.lit("").alias("text_md5"))
+    share = Fraction(str(threshold))
+    rows = with_place(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), "path", "row", "near-rows")
+    told = rows.select("doc_id", "text", "path", "row", (F.md5("text") if with_kept else F.lit("")).alias("text_md5"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,11 +215,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
                 marks.append(digest(s))
                 sigs.append(signature(s).tobytes())
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "text_md5", "mark", "n", "sig"])
+            kept = [b.column(i) for i in (0, 2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "path", "row", "text_md5", "mark", "n", "sig"])
 
-    every = materialise(told.mapInArrow(sketch, "doc_id long, text_md5 string, mark binary, n long, sig binary"), "sketches")
+    every = materialise(told.mapInArrow(sketch, "doc_id long, path string, row long, text_md5 string, mark binary, n long, sig binary"), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")
-    found = every.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min(first).alias("first"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    found = every.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min(first).alias("first"), F.min(F.struct("path", "row")).alias("at"), F.count("*").alias("size"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     classes = materialise(found.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # Buckets that two classes or more share, each set of members once.
@@ -248,60 +266,56 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tol
     groups = components(materialise(keyed.mapInArrow(prune, "a long, b long"), "candidates"))
 
     # Exact verification within candidate groups; shingle sets are made anew for their members only.
-    joined = materialise(classes.select("cid", "mark", "rep", "size").join(groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")), "cid"), "members")
-    counts = materialise(joined.groupBy("grp").agg(F.count("*").alias("cnt")), "groups")
-    wanted = joined.join(counts, "grp").withColumn("blocks", F.ceil(F.col("cnt") / group_block).cast("int")).drop("cnt")
-    texts = rows.join(wanted.hint("merge"), rows["doc_id"].eqNullSafe(wanted["rep"])).select("text", "mark", "cid", "size", "grp", "blocks")
+    joined = materialise(classes.select("cid", "at", "size", "n", "sig").join(groups.select(F.col("node").alias("cid"), F.col("label").alias("grp")), "cid"), "members")
+    counts = materialise(joined.groupBy("grp").agg(F.count("*").alias("cnt"), F.sum("n").alias("total")), "groups")
+    blocks = F.least("cnt", F.greatest(F.ceil(F.col("cnt") / group_block), F.ceil(F.col("total") * 8 / int(block_mb * 2**20)))).cast("int")
+    wanted = joined.join(counts, "grp").select("cid", "size", "grp", blocks.alias("blocks"), "sig", F.col("at.path").alias("path"), F.col("at.row").alias("row"))
+    # A class is read from one row of it, told by file and place.
+    texts = rows.select("path", "row", "text").join(wanted.hint("merge"), ["path", "row"]).select("text", "cid", "size", "grp", "blocks", "sig")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [shingles(t.as_py(), words) for t in b.column(0)]
-            right = [digest(s) == m for s, m in zip(made, b.column(1).to_pylist(), strict=True)]  # a repeated id may have other texts
-            kept = b.filter(pa.array(right))
-            data = pa.array([s.tobytes() for s, r in zip(made, right, strict=True) if r], pa.binary())
-            yield pa.RecordBatch.from_arrays([*kept.columns[2:], data], names=["cid", "size", "grp", "blocks", "data"])
+            data = pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], data], names=["cid", "size", "grp", "blocks", "sig", "data"])
 
     own = F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("blocks")).cast("int")
-    with_sets = texts.mapInArrow(sets, "cid long, size long, grp long, blocks int, data binary").withColumn("own", own)
+    with_sets = texts.mapInArrow(sets, "cid long, size long, grp long, blocks int, sig binary, data binary").withColumn("own", own)
     work = with_sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    work = work.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "size", "blocks", "data")
+    work = work.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "size", "blocks", "sig", "data")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
             at, out = bounds(t, 3), []
             names = ("own", "cid", "size", "blocks", "i", "j")
             owns, cids, sizes, blocks, i, j = (t.column(c).to_numpy() for c in names)
-            data = t.column("data")
+            data, signs = t.column("data"), t.column("sig")
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                first = lo + np.flatnonzero(np.r_[True, cids[lo + 1 : hi] != cids[lo : hi - 1]])  # a repeated row's class once
-                mine, size = cids[first], sizes[first]
-                s = [np.frombuffer(data[int(x)].as_py(), "<u8") for x in first]
-                length = np.array([len(x) for x in s])
-                if i[lo] == j[lo]:
-                    left = right = np.arange(len(first))
-                else:
-                    left, right = np.flatnonzero(owns[first] == i[lo]), np.flatnonzero(owns[first] == j[lo])
-                if not len(left) or not len(right):
-                    continue
-                common = intersections(s, left, right)
-                union = length[left][:, None] + length[right][None, :] - common
-                linked = common * 1000 >= round(threshold * 1000) * union
-                if i[lo] == j[lo]:
-                    np.fill_diagonal(linked, False)
-                    links = linked @ size
-                    out += [(0, int(c), int(k)) for c, k in zip(mine, links, strict=True) if k]
-                else:
-                    for side, k in ((left, linked @ size[right]), (right, linked.T @ size[left])):
-                        out += [(0, int(c), int(x)) for c, x in zip(mine[side], k, strict=True) if x]
-                a, b = np.nonzero(linked)
-                label = local_labels(len(first), left[a], right[b])
+                mine, size = cids[lo:hi], sizes[lo:hi]
+                a, b = pairs_of(owns[lo:hi], i[lo] == j[lo])
+                sig = np.frombuffer(b"".join(signs.slice(lo, hi - lo).to_pylist()), "<u2").reshape(-1, VALUES)
+                keep = not_pruned(sig, a, b, least)
+                a, b = a[keep], b[keep]
+                left, x = np.unique(a, return_inverse=True)
+                right, y = np.unique(b, return_inverse=True)
+                if len(a):
+                    some = np.union1d(left, right)
+                    s = [np.frombuffer(data[lo + int(k)].as_py(), "<u8") for k in some]
+                    length = np.array([len(v) for v in s])
+                    left, right = np.searchsorted(some, left), np.searchsorted(some, right)
+                    common = intersections(s, left, right)[x, y]
+                    union = length[left[x]] + length[right[y]] - common
+                    sure = common * share.denominator >= union * share.numerator
+                    a, b = a[sure], b[sure]
+                links = np.bincount(a, size[b], len(mine)) + np.bincount(b, size[a], len(mine))
+                out += [(0, int(c), int(k)) for c, k in zip(mine, links, strict=True) if k]
+                label = local_labels(len(mine), a, b)
                 final = 1 if blocks[lo] == 1 else 2
-                out += [(final, int(mine[x]), int(mine[y])) for x, y in enumerate(label.tolist()) if final == 1 or x != y]
+                out += [(final, int(mine[k]), int(mine[v])) for k, v in enumerate(label.tolist()) if final == 1 or k != v]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["kind", "a", "b"])
 
     # kind 0: links of a class; 1: its component, whole in one unit; 2: an edge of a group of many units.
-    checked = materialise(work.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "own", "cid").mapInArrow(verify, "kind long, a long, b long"), "verified")
+    checked = materialise(work.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(verify, "kind long, a long, b long"), "verified")
     label = checked.where("kind = 1").select(F.col("a").alias("cid"), F.col("b").alias("root"))
     if checked.where("kind = 2").limit(1).count():
         label = label.unionByName(components(checked.where("kind = 2").select("a", "b")).select(F.col("node").alias("cid"), F.col("label").alias("root")))

@@ -132,13 +132,14 @@ def near(df, **options):
 
 def test_near_tricky(spark, tricky, empty):
     assert near(tricky) == brute(TRICKY)
+    assert near(tricky, threshold=0.33333) == brute(TRICKY, 0.33333)
     assert nd.near_duplicates(empty).count() == 0
     left = nd.keep_one_of_each(tricky)
     assert left.columns == tricky.columns and left.count() == 11
 
 
-@pytest.mark.parametrize(("bucket", "group"), [(512, 768), (3, 4)])
-def test_near_groups_in_blocks(spark, bucket, group):
+@pytest.mark.parametrize(("bucket", "group", "mb"), [(512, 768, 4), (3, 4, 4), (512, 768, 0.002)])
+def test_near_groups_in_blocks(spark, bucket, group, mb):
     rng = random.Random(bucket)
     base = [[f"w{rng.randrange(4000)}" for _ in range(60)] for _ in range(4)]
     shared = [f"s{i}" for i in range(12)]
@@ -149,7 +150,8 @@ def test_near_groups_in_blocks(spark, bucket, group):
             w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
         rows.append((i, " ".join(w)))
     rows += [(200 + i, " ".join([f"u{i}_{j}" for j in range(30)] + shared)) for i in range(30)]  # a shared passage is no near copy
-    assert near(table(spark, rows), bucket_block=bucket, group_block=group) == brute(rows)
+    rows += [(None, " ".join(f"n{i}_{j}" for j in range(20))) for i in range(40)] + [(None, " ".join([*base[1], f"x{i}"])) for i in range(20)]
+    assert near(table(spark, rows), bucket_block=bucket, group_block=group, block_mb=mb) == brute(rows)
 
 
 def test_pruning_keeps_true_pairs():
