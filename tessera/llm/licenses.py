@@ -3,13 +3,15 @@
 Fit (driver, once a process, from the fixed notices below): word 1- to 3-grams with at least one content word, multinomial
 logistic regression over the families and an unknown class, whose examples are sentences that share words with licences.
 The unknown class is calibrated: its intercept is raised until half of the margin between the notices and the best unknown
-sentence, left out in turn by folds, lies on either side.
+sentence, left out in turn by folds, lies on either side. British and American spellings of a license are one.
 
 Scan (DataFrame functions only): a paragraph is a line, or a span of up to ``WRAP`` neighbouring lines that holds half of a
-notice's 3-grams, those over line ends too (reported as first-last, in place of its lines' own predictions). A line with no content word of the vocabulary, or with a single one
-whose gains can't reach the intercepts' lead, is unknown by arithmetic; the others' n-grams meet the weights (a broadcast table as large as the fixed notices), are summed
-per paragraph, and the softmax gives a family and its probability. A predicted family is confirmed where at least half of
-the word 3-grams of one of its notices, in whole or in one of its sentences, are in the paragraph.
+notice's 3-grams, those over line ends too (reported as first-last, in place of its lines' own predictions). A line with no
+content word of the vocabulary, or with a single one whose gains can't reach the intercepts' lead, is unknown by arithmetic;
+the others' n-grams meet the weights (a broadcast table as large as the fixed notices), are summed per paragraph, and the
+softmax gives a family and its probability. A predicted family is confirmed where at least half of the word 3-grams of one
+of its notices, in whole or in one of its sentences, are in the paragraph, and no word contradicts it: one that sets its kin
+apart and is in none of its notices (``NoDerivatives`` contradicts CC-BY).
 
 Scale: one pass over the texts keeps candidate lines only; n-grams are made of those. Shuffles carry sums per paragraph, keyed
 by row and line, so neither a hot document nor a hot line gathers in one task.
@@ -36,6 +38,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "This project is released under the Apache 2.0 license.",
+        "Available under the Apache License 2.0, see the file for details.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "MIT": (
@@ -43,6 +46,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "This software is licensed under the terms of the MIT license.",
+        "The MIT License applies.",
         "SPDX-License-Identifier: MIT",
     ),
     "GPL-3.0": (
@@ -50,12 +54,15 @@ NOTICES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/",
         "Licensed under the GNU GPL v3.",
+        "Distributed under the GPL version 3 or any later version.",
+        "GNU GPL version 3 or later",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
         "Licensed under the GNU GPL v2.",
+        "Distributed under the GPL version 2.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "LGPL": (
@@ -65,6 +72,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
     ),
     "AGPL-3.0": (
         "Licensed under the GNU Affero General Public License, version 3.",
+        "Distributed under the GNU AGPL version 3.",
         "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
@@ -97,14 +105,90 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "CC0": (
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal.",
         "Dedicated to the public domain under CC0.",
+        "Released under the Creative Commons Zero license.",
+        "CC0 1.0 Universal Public Domain Dedication",
         "SPDX-License-Identifier: CC0-1.0",
     ),
+    "CC-BY-ND": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+        "Creative Commons Attribution-NoDerivs License",
+        "Attribution-NoDerivatives 4.0 International (CC BY-ND 4.0)",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
+    ),
+    "CC-BY-NC-SA": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ),
+    "CC-BY-NC-ND": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Released under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+    ),
+    "EUPL-1.2": (
+        "Licensed under the EUPL, Version 1.2 or later.",
+        "Licensed under the European Union Public License.",
+        "SPDX-License-Identifier: EUPL-1.2",
+    ),
+    "Artistic-2.0": (
+        "Licensed under the Artistic License 2.0.",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ),
+    "ODbL-1.0": (
+        "This database is made available under the Open Database License.",
+        "Any rights in individual contents of the database are licensed under the Database Contents License.",
+        "SPDX-License-Identifier: ODbL-1.0",
+    ),
+    "OFL-1.1": (
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "SPDX-License-Identifier: OFL-1.1",
+    ),
+    "CDDL-1.0": (
+        "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+        "SPDX-License-Identifier: CDDL-1.0",
+    ),
     "Proprietary": (
         "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
         "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited.",
     ),
 }
+#: Fixed full names of the families, notices too.
+NAMES = {
+    "Apache-2.0": "Apache License 2.0", "MIT": "The MIT License", "GPL-3.0": "GNU General Public License v3.0", "GPL-2.0": "GNU General Public License v2.0", "LGPL": "GNU Lesser General Public License v2.1",
+    "AGPL-3.0": "GNU Affero General Public License v3.0", "BSD": "BSD 3-Clause \"New\" or \"Revised\" License", "MPL-2.0": "Mozilla Public License 2.0", "CC-BY": "Creative Commons Attribution 4.0 International",
+    "CC-BY-SA": "Creative Commons Attribution Share Alike 4.0 International", "CC-BY-NC": "Creative Commons Attribution Non Commercial 4.0 International", "CC-BY-ND": "Creative Commons Attribution No Derivatives 4.0 International",
+    "CC-BY-NC-SA": "Creative Commons Attribution Non Commercial Share Alike 4.0 International", "CC-BY-NC-ND": "Creative Commons Attribution Non Commercial No Derivatives 4.0 International",
+    "CC0": "Creative Commons Zero v1.0 Universal", "ISC": "The ISC License", "BSL-1.0": "Boost Software License 1.0", "EPL-2.0": "Eclipse Public License 2.0", "Zlib": "The zlib License",
+    "EUPL-1.2": "European Union Public License 1.2", "Artistic-2.0": "Artistic License 2.0", "ODbL-1.0": "Open Data Commons Open Database License v1.0", "OFL-1.1": "SIL Open Font License 1.1",
+    "CDDL-1.0": "Common Development and Distribution License 1.0",
+}
+NOTICES = {f: (*ns, *([NAMES[f]] if f in NAMES else [])) for f, ns in NOTICES.items()}
 #: Fixed sentences of no licence that share its words.
 UNKNOWN = (
     "A driving license must be renewed each year.", "The fishing license was granted to the local club.", "He lost his pilot license last spring.",
@@ -116,18 +200,30 @@ UNKNOWN = (
     "Copies of the book are in the library.", "The conditions of the road are poor.", "The author of the work is not known.", "Mozilla has an office in the city.",
     "A license plate was found along the road.", "The program was released in the spring.", "The permission of the owner was not required.",
     "Please read the file in the public folder.", "The form and the source code are in the notice.", "Redistribution of land was the subject of the law.",
+    "His driving licence was taken away after the third accident.", "A licence fee is paid by every household.", "The pilot's licence is valid for two years.", "The board revoked the restaurant's licence.",
+    "Public records are available at the library.", "The eclipse was seen in the north.", "The font was cut by hand in the city.", "The database was lost in a fire.", "European law is taught at the university.",
+    "Her work is artistic and free of ornament.", "No event was held in the hall.", "The software was distributed on discs.", "The boost in sales came late.", "Commercial fishing is banned in the bay.",
+    "The general was licensed to carry a weapon.", "The lesser of the two evils was chosen.", "All persons are free to copy the recipe.", "The terms of the treaty were met.", "The version of the story is not confirmed.",
+    "Permission to land was denied.", "The patent was granted in all states.", "Open source news is read in the morning.", "The licence office is closed on Monday.", "A copyright dispute was settled out of court.",
     "The notice was copied and included in the file.", "Distribution of the software started in version 2.", "The work was licensed to a publisher.",
 )
 #: Fixed words that alone make no feature.
 PLAIN = frozenset("a an and any are as at be by can either for from has have if in is it later may not of on or other see should that the this to under was with without work you your http www org".split())
+#: Fixed words that set kin families apart, and the families.
+KIN = (
+    (("nc", "noncommercial", "nd", "noderivatives", "noderivs", "sa", "sharealike"), ("CC-BY", "CC-BY-SA", "CC-BY-NC", "CC-BY-ND", "CC-BY-NC-SA", "CC-BY-NC-ND", "CC0")),
+    (("lesser", "lgpl", "affero", "agpl"), ("GPL-3.0", "GPL-2.0", "LGPL", "AGPL-3.0")),
+)
 TOKEN = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9a-z])\."
 NGRAMS = (1, 2, 3)
+#: Where the unknown class's lead lies between the notices' least margin (0) and the best unknown sentence's (1).
+CAUTION = 0.5
 #: Lines that a wrapped notice's matched words may span.
 WRAP = 12
 
 
 def tokens(text: str) -> list[str]:
-    return [t for t in re.split(TOKEN, text.lower()) if t]
+    return [t for t in re.split(TOKEN, text.lower().replace("licenc", "licens")) if t]
 
 
 def ngrams(words: list[str], sizes: tuple[int, ...] = NGRAMS) -> list[str]:
@@ -173,7 +269,7 @@ def model() -> tuple[list[str], list[str], np.ndarray]:
     w = _fit(x, y, k)
     s = np.c_[x, np.ones(n)] @ w
     known = (s[:, :-1].max(1) - s[:, -1])[y < k - 1]
-    w[-1, -1] += max(0.0, (gap[y == k - 1].max() + known.min()) / 2)
+    w[-1, -1] += max(0.0, CAUTION * gap[y == k - 1].max() + (1 - CAUTION) * known.min())
     return families, vocabulary, w
 
 
@@ -195,14 +291,19 @@ def strong_words() -> tuple[list[str], list[str]]:
 
 
 def templates() -> list[tuple[str, int, list[str]]]:
-    """(family, number of 3-grams, 3-grams) of each notice and each of its sentences of three words or more."""
-    found = []
+    """(family, number of 3-grams, 3-grams) of each notice and each of its sentences of three words or more, but for those that several families have."""
+    found: dict[tuple, set] = {}
     for family, notices in NOTICES.items():
         for t in {p for n in notices for p in (n, *re.split(r"(?<=[.;:])\s+", n))}:
-            grams = sorted({*ngrams(tokens(t), (3,))})
-            if grams:
-                found.append((family, len(grams), grams))
-    return sorted(found)
+            if grams := tuple(sorted({*ngrams(tokens(t), (3,))})):
+                found.setdefault(grams, set()).add(family)
+    return sorted((min(families), len(grams), [*grams]) for grams, families in found.items() if len(families) == 1)
+
+
+def contradictions() -> dict[str, list[str]]:
+    """For a family the words of its kin that none of its notices has."""
+    own = {f: {t for n in ns for t in tokens(n)} for f, ns in NOTICES.items()}
+    return {f: [w for w in words if w not in own[f]] for words, families in KIN for f in families}
 
 
 def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -211,7 +312,7 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     families, vocabulary, w = model()
     k = len(families)
     content, strong = strong_words()
-    words = lambda c: f"filter(split(lower({c}), r'{TOKEN}'), t -> t <> '')"
+    words = lambda c: f"filter(split(replace(lower({c}), 'licenc', 'licens'), r'{TOKEN}'), t -> t <> '')"
     listed, sole = (f"CAST(array({', '.join(repr(t) for t in ts)}) AS ARRAY<STRING>)" for ts in (content, strong))
     every = f"transform(split(text, '\\n'), (l, i) -> named_struct('line', i, 'words', {words('l')}))"
     lines = f"filter(every, x -> size(array_intersect(x.words, {listed})) > 1 OR arrays_overlap(x.words, {sole}))"
@@ -243,7 +344,9 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     shared = grams_of(line.join(predicted.select("rid", "line", "family"), ["rid", "line"])).join(F.broadcast(notes), ["family", "gram"])
     likeness = shared.groupBy("rid", "line", "notice", "n").agg(F.count("*").alias("c")).groupBy("rid", "line").agg(F.max(F.col("c") / F.col("n")).alias("likeness"))
     hits = predicted.join(likeness, ["rid", "line"], "left").withColumn("likeness", F.round(F.coalesce("likeness", F.lit(0.0)), 6))
-    hits = hits.withColumn("confirmed", F.col("likeness") >= confirm).withColumn("last", F.col("line"))
+    pairs = ", ".join(f"'{f}', array({', '.join(repr(w) for w in ws)})" for f, ws in contradictions().items())
+    contradicted = F.expr(f"coalesce(arrays_overlap(words, try_element_at(map({pairs}), family)), false)")
+    hits = hits.join(line, ["rid", "line"]).withColumn("confirmed", (F.col("likeness") >= confirm) & ~contradicted).drop("words").withColumn("last", F.col("line"))
     # Wrapped notices: template 3-grams over neighbouring lines, in windows of WRAP lines; few rows are left by the first join.
     ended = "if(i + 1 < size(parts) AND parts[i + 1].line = x.line + 1, x.words, concat(x.words, array('|')))"  # nothing runs on over a gap
     told = kept.where("size(parts) > 1").select("rid", F.expr(f"flatten(transform(parts, (x, i) -> transform({ended}, w -> named_struct('line', x.line, 'word', w))))").alias("t"))
@@ -261,7 +364,8 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     same = (F.col("rid") == F.col("r2")) & (F.col("family") == F.col("f2")) & (F.col("a2") <= F.col("last")) & (F.col("b2") >= F.col("first")) & (F.col("rank") < order)
     best = materialise(best.join(better, same, "left_anti").withColumn("line", F.monotonically_increasing_id()), "licence-spans")
     body = best.join(told, "rid").select("rid", "line", F.expr("transform(filter(t, x -> x.line BETWEEN first AND last), x -> x.word)").alias("words"))
-    sure = best.join(classified(grams_of(body)), ["rid", "line", "family"]).select("rid", F.col("first").alias("line"), "family", "probability", "likeness", F.lit(True).alias("confirmed"), "last")
+    right = body.join(best.select("rid", "line", "family"), ["rid", "line"]).where(~contradicted).select("rid", "line")
+    sure = best.join(classified(grams_of(body)), ["rid", "line", "family"]).join(right, ["rid", "line"]).select("rid", F.col("first").alias("line"), "family", "probability", "likeness", F.lit(True).alias("confirmed"), "last")
     part = sure.select(F.col("rid").alias("r2"), F.col("family").alias("f2"), F.col("line").alias("a2"), F.col("last").alias("b2"))
     hits = hits.join(part, (F.col("rid") == F.col("r2")) & (F.col("family") == F.col("f2")) & F.col("line").between(F.col("a2"), F.col("b2")), "left_anti")
     return kept.select("rid", "doc_id"), hits.unionByName(sure)

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
+from collections import defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -206,6 +208,89 @@ def test_license_arithmetic(spark):
     assert sorted(r.family for r in hits.collect()) == sorted(want)
 
 
+HELD_OUT = [
+    ("MIT", "covered by the MIT licence"), ("MIT", "The code is available under the MIT licence."), ("GPL-3.0", "released under GNU General Public License version 3"), ("GPL-3.0", "GPL version 3 or later"),
+    ("GPL-2.0", "You may use it under the GNU GPL version 2."), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "This package is under the Apache 2.0 licence"), ("BSD", "distributed under the 3-clause BSD license"),
+    ("BSD", "Use of this file is governed by a BSD-style licence"), ("CC-BY-ND", "This work is licensed under CC BY-ND 4.0"), ("CC-BY", "Creative Commons Attribution 4.0"), ("CC-BY-SA", "text licensed under CC BY-SA 4.0 unless noted"),
+    ("MPL-2.0", "covered by the Mozilla Public License 2.0"), ("LGPL", "the GNU Lesser General Public License, version 2.1"), ("AGPL-3.0", "GNU Affero GPL version 3"), ("ISC", "covered by the ISC licence"), ("EPL-2.0", "Eclipse Public License v2"),
+    ("CC0", "CC0 public domain dedication"), ("Unlicense", "released into the public domain, free and unencumbered"), ("Proprietary", "© 2020 Example Corp. All rights reserved"), ("CC-BY-NC-ND", "shared as CC BY-NC-ND 4.0"),
+    ("BSL-1.0", "the Boost Software License"), ("OFL-1.1", "the SIL Open Font Licence, v1.1"),
+]
+NO_LICENCE = [
+    "She renewed her driving licence in May.", "The committee granted a licence to sell spirits.", "The library opened a branch in the north.", "A version of the film was released in 2019.", "Free software is a matter of liberty.",
+    "The commons was enclosed in the last century.", "The general public may visit the gardens.", "Attribution theory explains how people judge causes.", "The city licenses street vendors.", "He was given permission to copy the manuscript.",
+    "Redistribution of wealth was debated.", "The source code of the program was written in Forth.", "All rights and duties pass to the heirs.", "The foundation supports open research.", "A copy of the report is available on request.",
+    "Distribution of food began on Monday.", "The warranty covers parts and labour for two years.", "No part of the coast was spared by the storm.",
+]
+
+
+def test_license_wordings_held_out(spark):
+    """Wordings that are no notices get their family, sentences that share words none; a kin's word contradicts."""
+    known = {t for ts in licenses.NOTICES.values() for t in ts} | {*licenses.UNKNOWN}
+    assert not known & {t for _, t in HELD_OUT} and not known & {*NO_LICENCE} and len(licenses.NOTICES) >= 25
+    rows = [(i, "erth\n" + t + "\ning") for i, (_, t) in enumerate(HELD_OUT)] + [(1000 + i, t) for i, t in enumerate(NO_LICENCE)]
+    told = [(2000, "Creative Commons Attribution-NoDerivatives 4.0 International"), (2001, "Licensed under CC BY-ND 4.0."), (2002, "Licensed under CC BY-NC 4.0 and the MIT License.")]
+    docs, hits = licenses.scan_paragraphs(table(spark, rows + told, 1))
+    ids, found = {r.rid: r.doc_id for r in docs.collect()}, defaultdict(list)
+    for r in hits.collect():
+        found[ids[r.rid]].append(r)
+    right = [i for i, (f, _) in enumerate(HELD_OUT) if [r.family for r in found[i]] == [f]]
+    assert len(right) >= 0.9 * len(HELD_OUT), [HELD_OUT[i] for i in range(len(HELD_OUT)) if i not in right]
+    assert not any(found[1000 + i] for i in range(len(NO_LICENCE)))
+    assert all(r.family == "CC-BY-ND" for i in (2000, 2001) for r in found[i]) and found[2001][0].confirmed
+    assert not any(r.confirmed and r.family == "CC-BY" for i in (2000, 2001, 2002) for r in found[i])
+
+
+def plain_license_lines(text, confirm=0.5):
+    """(line, family, probability, likeness, confirmed) of a text's lines, by loops."""
+    families, vocabulary, w = licenses.model()
+    place, out = {g: i for i, g in enumerate(vocabulary)}, []
+    for i, line in enumerate(text.split("\n")):
+        words = licenses.tokens(line)
+        s = [float(x) for x in w[-1]]
+        for g in {*licenses.ngrams(words)} & place.keys():
+            s = [a + float(b) for a, b in zip(s, w[place[g]], strict=True)]
+        best = max(range(len(s)), key=lambda k: s[k])
+        if families[best] == "unknown":
+            continue
+        p = 1 / sum(math.exp(x - s[best]) for x in s)
+        mine = {*licenses.ngrams(words, (3,))}
+        like = max((len(mine & {*grams}) / n for f, n, grams in licenses.templates() if f == families[best]), default=0.0)
+        against = {*licenses.contradictions().get(families[best], [])} & {*words}
+        out.append((i, families[best], round(p, 6), round(like, 6), round(like, 6) >= confirm and not against))
+    return out
+
+
+def test_license_columns(spark):
+    """Every column of single lines is a loop's."""
+    rng = random.Random(4)
+    words = sorted({x for t in [*licenses.NAMES.values(), *licenses.UNKNOWN] for x in licenses.tokens(t)})
+    notices = [t for ts in licenses.NOTICES.values() for t in ts]
+    lines = []
+    for _ in range(250):
+        w = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice([*words, "NoDerivatives", "Lesser", "erth"])
+        lines.append(" ".join(w[rng.randint(0, 2) :]))
+    docs, hits = licenses.scan_paragraphs(table(spark, list(enumerate(lines)), 1))
+    ids = {r.rid: r.doc_id for r in docs.collect()}
+    got = defaultdict(list)
+    for r in hits.collect():
+        assert r.last == r.line
+        got[ids[r.rid]].append((r.line, r.family, r.probability, r.likeness, r.confirmed))
+    for i, line in enumerate(lines):
+        want = plain_license_lines(line)
+        assert len(got[i]) == len(want) and all(a[:2] == b[:2] and a[4] == b[4] and abs(a[2] - b[2]) < 2e-6 and abs(a[3] - b[3]) < 2e-6 for a, b in zip(got[i], want, strict=True)), (line, got[i], want)
+
+
+def test_probe_notices(spark):
+    """Notices as files have them: wrapped at 75 columns, in comments, in a few lines."""
+    mit, apache, bsd = licenses.NOTICES["MIT"][1], licenses.NOTICES["Apache-2.0"][1], licenses.NOTICES["BSD"][1]
+    rows = [(1, textwrap.fill(mit, 75)), (2, "\n".join("// " + x for x in textwrap.wrap(apache, 90))), (3, textwrap.fill(bsd, 70)), (4, "Copyright\n\n" + textwrap.indent(textwrap.fill(mit, 60), "  * "))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    assert [got[i].families for i in (1, 2, 3, 4)] == ["MIT", "Apache-2.0", "BSD", "MIT"]
+
+
 def slow_signature(text, k=8, chosen=2, bins=128):
     """By a loop over k-mers, from the same hashes."""
     import numpy as np
