@@ -196,7 +196,7 @@ def intersections(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray,
     return out.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = 1e-6, bucket_block: int = 512, group_block: int = 128, block_mb: float = 4, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, tolerance: float = 1e-6, bucket_block: int = 256, group_block: int = 128, block_mb: float = 4, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id, class_size (documents), n_links (other documents at ``threshold`` or more).
 
     ``with_kept`` adds text_md5 and kept: true for the row of least (doc_id, text_md5) in its class, null ids last.
