@@ -208,13 +208,14 @@ UNKNOWN = (
     "The notice was copied and included in the file.", "Distribution of the software started in version 2.", "The work was licensed to a publisher.",
 )
 #: Fixed words that alone make no feature.
-PLAIN = frozenset("a an and any are as at be by can either for from has have if in is it later may not of on or other see should that the this to under was with without work you your http www org".split())
+PLAIN = frozenset("a an and any are as at be by can either for from has have if in is it later may no not of on only or other see should that the this to under was with without work you your http www org".split())
 #: Fixed words that set kin families apart, and the families.
 KIN = (
     (("nc", "noncommercial", "nd", "noderivatives", "noderivs", "sa", "sharealike"), ("CC-BY", "CC-BY-SA", "CC-BY-NC", "CC-BY-ND", "CC-BY-NC-SA", "CC-BY-NC-ND", "CC0")),
     (("lesser", "lgpl", "affero", "agpl"), ("GPL-3.0", "GPL-2.0", "LGPL", "AGPL-3.0")),
 )
-TOKEN = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9a-z])\."
+#: A word; a full stop before a digit is part of it.
+TOKEN = r"[a-z0-9]+(?:\.[0-9][a-z0-9]*)*"
 NGRAMS = (1, 2, 3)
 #: Where the unknown class's lead lies between the notices' least margin (0) and the best unknown sentence's (1).
 CAUTION = 0.5
@@ -223,7 +224,7 @@ WRAP = 12
 
 
 def tokens(text: str) -> list[str]:
-    return [t for t in re.split(TOKEN, text.lower().replace("licenc", "licens")) if t]
+    return re.findall(TOKEN, text.lower().replace("licenc", "licens"))
 
 
 def ngrams(words: list[str], sizes: tuple[int, ...] = NGRAMS) -> list[str]:
@@ -290,13 +291,17 @@ def strong_words() -> tuple[list[str], list[str]]:
     return content, sorted(t for t, gain in alone.items() if (gain + w[-1, :-1]).max() >= w[-1, -1])
 
 
-def templates() -> list[tuple[str, int, list[str]]]:
-    """(family, number of 3-grams, 3-grams) of each notice and each of its sentences of three words or more, but for those that several families have."""
+def templates(confirm: float = 0.5) -> list[tuple[str, int, list[str]]]:
+    """(family, number of 3-grams, 3-grams) of each notice and each of its sentences of three words or more.
+
+    Left out are those that several families have, and those of which one content word alone could bring ``confirm``.
+    """
     found: dict[tuple, set] = {}
     for family, notices in NOTICES.items():
         for t in {p for n in notices for p in (n, *re.split(r"(?<=[.;:])\s+", n))}:
-            if grams := tuple(sorted({*ngrams(tokens(t), (3,))})):
-                found.setdefault(grams, set()).add(family)
+            own = [{*g.split()} - PLAIN for g in {*ngrams(tokens(t), (3,))}]
+            if own and all(sum(o <= {w} for o in own) < confirm * len(own) for w in set().union(*own) | {""}):
+                found.setdefault(tuple(sorted({*ngrams(tokens(t), (3,))})), set()).add(family)
     return sorted((min(families), len(grams), [*grams]) for grams, families in found.items() if len(families) == 1)
 
 
@@ -312,14 +317,16 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
     families, vocabulary, w = model()
     k = len(families)
     content, strong = strong_words()
-    words = lambda c: f"filter(split(replace(lower({c}), 'licenc', 'licens'), r'{TOKEN}'), t -> t <> '')"
-    listed, sole = (f"CAST(array({', '.join(repr(t) for t in ts)}) AS ARRAY<STRING>)" for ts in (content, strong))
-    every = f"transform(split(text, '\\n'), (l, i) -> named_struct('line', i, 'words', {words('l')}))"
-    lines = f"filter(every, x -> size(array_intersect(x.words, {listed})) > 1 OR arrays_overlap(x.words, {sole}))"
+    words = lambda c: f"regexp_extract_all(replace(lower({c}), 'licenc', 'licens'), r'{TOKEN}', 0)"
+    listed, sole, plain = (", ".join(repr(t) for t in [*ts, ""]) for ts in (content, strong, sorted(PLAIN)))
+    told = f"array_distinct(filter(words, t -> t IN ({listed})))"
+    every = f"transform(transform(split(text, '\n'), (l, i) -> named_struct('line', i, 'words', {words('l')})), x -> named_struct('line', x.line, 'words', x.words, 'told', array_distinct(filter(x.words, t -> t IN ({listed})))))"
+    lines = f"transform(filter(every, x -> size(x.told) > 1 OR size(x.told) = 1 AND x.told[0] IN ({sole})), x -> named_struct('line', x.line, 'words', x.words))"
+    parts = f"transform(filter(every, x -> size(x.told) > 0 OR size(x.words) > 0 AND forall(x.words, t -> t IN ({plain}))), x -> named_struct('line', x.line, 'words', x.words))"
     kept = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), text_of(text_col).alias("text"))
-    plain = f"array({', '.join(repr(t) for t in sorted(PLAIN))})"
-    parts = f"filter(every, x -> arrays_overlap(x.words, {listed}) OR size(x.words) > 0 AND size(array_except(x.words, {plain})) = 0)"
-    kept = kept.select("doc_id", "rid", F.expr(every).alias("every")).select("doc_id", "rid", F.expr(lines).alias("lines"), F.expr(parts).alias("parts"))
+    # No family is predicted by one word, or by a strong one alone, and no notice found by one: other documents are done after one pass.
+    kept = kept.select("doc_id", "rid", "text", F.expr(words("text")).alias("words")).select("doc_id", "rid", F.expr(f"CASE WHEN size({told}) >= {1 if strong else 2} THEN text END").alias("text"))
+    kept = kept.select("doc_id", "rid", F.expr(f"CASE WHEN text IS NOT NULL THEN {every} END").alias("every")).select("doc_id", "rid", F.expr(lines).alias("lines"), F.expr(parts).alias("parts"))
     kept = materialise(kept, "licence-lines")
     line = kept.select("rid", F.explode("lines").alias("x")).select("rid", "x.line", "x.words")
     each = ", ".join(f"transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" if n > 1 else "words" for n in NGRAMS)
@@ -339,7 +346,7 @@ def scan_paragraphs(docs: DataFrame, confirm: float = 0.5, id_col: str = "doc_id
 
     predicted = classified(grams)
     # Template comparison: shares of a notice's 3-grams.
-    known = [(f, i, n, g) for i, (f, n, gs) in enumerate(templates()) for g in gs]
+    known = [(f, i, n, g) for i, (f, n, gs) in enumerate(templates(confirm)) for g in gs]
     notes = spark.createDataFrame(known, "family string, notice int, n int, gram string")
     shared = grams_of(line.join(predicted.select("rid", "line", "family"), ["rid", "line"])).join(F.broadcast(notes), ["family", "gram"])
     likeness = shared.groupBy("rid", "line", "notice", "n").agg(F.count("*").alias("c")).groupBy("rid", "line").agg(F.max(F.col("c") / F.col("n")).alias("likeness"))
