@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.fixed import EXTRACT_KEYWORDS, PREPARE_KEYWORDS
-from tessera.functions.text import lines_u, tokens_u
+from tessera.functions.text import INK, SPACE, let, lines_u, tokens_u
 
 #: Marks taken off both ends of a token; marks that are noise within one (fixed values).
 ENDS = r""".,;:"()\[\]{}<>!?'\-"""
@@ -20,17 +22,24 @@ def is_metadata(text: Column, keywords: list[str] = PREPARE_KEYWORDS, upper_keyw
     True where it has no lines, more than 0.6 of its lines start with ``#``, two keywords are in the upper-cased text or
     (``min_body``) the other lines joined by a space are shorter than that.
     """
-    lines = lines_u(text)
-    heads = F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("#"))))
-    upper = F.upper(text)
-    hits = F.lit(0)
-    for k in keywords:
-        hits = hits + F.contains(upper, F.lit(k.upper() if upper_keywords else k)).cast("int")
-    found = (F.size(lines) == 0) | (heads * 10 > F.size(lines) * 6) | (hits >= 2)
-    if min_body is not None:
-        body = F.array_join(F.filter(lines, lambda x: ~F.startswith(x, F.lit("#"))), " ")
-        found = found | (F.char_length(body) < min_body)
-    return found
+
+    def named(upper: Column) -> Column:
+        hits = F.lit(0)
+        for k in keywords:
+            hits = hits + F.contains(upper, F.lit(k.upper() if upper_keywords else k)).cast("int")
+        return hits >= 2
+
+    def shaped(lines: Column) -> Column:
+        heads = F.size(F.filter(lines, lambda l: F.startswith(l, F.lit("#"))))
+        found = (F.size(lines) == 0) | (heads * 10 > F.size(lines) * 6)
+        if min_body is not None:  # the other lines' lengths and the spaces between them
+            body = F.aggregate(lines, F.lit(-1), lambda n, l: F.when(F.startswith(l, F.lit("#")), n).otherwise(n + 1 + F.char_length(l)))
+            found = found | (body < min_body)
+        return found
+
+    # Without "#" a text of so many characters that are no white space needs no lines.
+    enough = ~F.contains(text, F.lit("#")) & text.rlike(rf"(?U)\A(?:{SPACE}*+{INK}){{{min_body or 1}}}")
+    return let(F.upper(text), named) | F.when(enough, F.lit(False)).otherwise(let(lines_u(text), shaped))
 
 
 def is_metadata_extract(text: Column) -> Column:
@@ -46,16 +55,30 @@ def _bad_token(t: Column) -> Column:
     return ~skipped & (mixed | noisy)
 
 
+#: Marks and digits without which a token can't be bad.
+_TOLD = ";:!<>*&^%$#@~=+|\\" + "²³¹⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉①②③④⑤⑥⑦⑧⑨" + "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Nd")
+
+
+def _bad(tokens: Column) -> Column:
+    """How many of the tokens are bad; patterns are tried on those with a digit or a noise mark."""
+    told = F.filter(tokens, lambda t: F.translate(t, _TOLD, "") != t)
+    bare = F.transform(told, lambda t: F.regexp_replace(t, rf"\A[{ENDS}]+|[{ENDS}]+\z", ""))
+    return F.size(F.filter(bare, _bad_token))
+
+
 def bad_tokens(text: Column) -> Column:
     """How many tokens mix lower-case letters and digits, or letters and noise marks."""
-    bare = F.transform(tokens_u(text), lambda t: F.regexp_replace(t, rf"\A[{ENDS}]+|[{ENDS}]+\z", ""))
-    return F.size(F.filter(bare, _bad_token))
+    return _bad(tokens_u(text))
+
+
+def token_counts(text: Column) -> Column:
+    """struct(bad, total) of a text's tokens."""
+    return let(tokens_u(text), lambda t: F.struct(_bad(t).alias("bad"), F.size(t).alias("total")))
 
 
 def is_bad_ocr(text: Column) -> Column:
     """More than 0.05 of the tokens are bad, or there are none."""
-    n = F.size(tokens_u(text))
-    return (n == 0) | (bad_tokens(text) * 20 > n)
+    return let(tokens_u(text), lambda t: (F.size(t) == 0) | (_bad(t) * 20 > F.size(t)))
 
 
 def has_fields(*columns: Column) -> Column:

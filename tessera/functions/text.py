@@ -6,11 +6,15 @@ Java's ``\s`` and ``trim`` know ASCII only; these follow the Unicode rules (``(?
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
-BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+INK = r"[^\s\x1c-\x1f]"
+#: Characters that end a line; all are white space.
+BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 
 
 def strip_u(c: Column) -> Column:
@@ -28,8 +32,16 @@ def tokens_u(c: Column) -> Column:
 
 
 def lines_u(c: Column) -> Column:
-    """Trimmed lines that aren't blank; lines end at any Unicode line break."""
-    return F.filter(F.transform(F.split(c, BREAK), strip_u), not_blank)
+    """Trimmed lines that aren't blank; lines end at any Unicode line break.
+
+    One pass: such a line goes from a character that is no white space to the last such before a break.
+    """
+    return F.regexp_extract_all(c, F.lit(f"(?U){INK}(?:[^{BREAKS}]*{INK})?"), F.lit(0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def paragraphs_u(c: Column) -> Column:
