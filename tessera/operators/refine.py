@@ -1,11 +1,13 @@
 """Generate, criticise and refine in passes, until every row passes or loops run out.
 
 A pass is one DataFrame over all rows still failing. It is written under the run's folder and read again, so lineage stays
-one pass long, a lost executor costs its tasks, and a run that starts again takes up after the last written pass.
+one pass long, a lost executor costs its tasks. Passes are kept by (chunk, level): a run that starts again, with the same jobs or
+with more, asks only for those that no finished pass has.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,15 +20,35 @@ from tessera.sources.readers import _exists
 
 #: A step maps a DataFrame to the same rows with a column ``output`` of generated text.
 Step = Callable[[DataFrame], DataFrame]
+#: What a job is known by.
+KEYS = ["chunk_id", "level"]
 
 
-def _pass(df_of: Callable[[], DataFrame], path: str) -> DataFrame:
-    """The written pass, made unless a finished write is there."""
-    made = df_of()
-    spark = made.sparkSession
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        made.write.mode("overwrite").parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+def _pass(source: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, keys: list[str]) -> DataFrame:
+    """``step`` of ``source``, written under ``path`` by key: rows whose key is listed there are not asked again.
+
+    New keys' rows are appended as a batch of their own, with the keys asked (also of rows that ``step`` dropped); a batch
+    without a finished write of both counts for nothing. Rows of keys that ``source`` lacks are left out of the result.
+    """
+    spark = source.sparkSession
+    named = source.select(*(F.col(k).cast("string").alias(k) for k in keys)).distinct()
+    done, n = [], 0
+    while _exists(spark, f"{path}/rows-{n}"):
+        if _exists(spark, f"{path}/rows-{n}/_SUCCESS") and _exists(spark, f"{path}/keys-{n}/_SUCCESS"):
+            done.append(n)
+        n += 1
+    schema = step(source).schema
+    at = lambda kind, some: spark.read.schema(named.schema if kind == "keys" else schema).parquet(*(f"{path}/{kind}-{i}" for i in some))
+    match = lambda a, b: functools.reduce(lambda x, y: x & y, (a[k].cast("string").eqNullSafe(b[k]) for k in keys))
+    asked = at("keys", done) if done else None
+    left = named if asked is None else named.join(asked, match(named, asked), "left_anti")
+    if not done or left.limit(1).count():
+        new = source if asked is None else source.join(asked, match(source, asked), "left_anti")
+        step(new).write.parquet(f"{path}/rows-{n}")
+        left.write.parquet(f"{path}/keys-{n}")
+        done.append(n)
+    made = at("rows", done)
+    return made.join(named, match(made, named), "left_semi")
 
 
 def pair_columns(loops: Column | int, converged: bool) -> list[Column]:
@@ -45,10 +67,10 @@ def refine_in_passes(jobs: DataFrame, generator: Step, critic: Step, refiner: St
     fails its row. Rows that pass in loop i have refinement_loops i; those that never do, ``max_loops`` and not converged.
     """
     keep = [*jobs.columns, "qa"]
-    active = _pass(lambda: generator(jobs).withColumn("qa", F.try_element_at(parse_qa(F.col("output")), F.lit(1))).where("qa IS NOT NULL").select(*keep), f"{path}/generated")
+    active = _pass(jobs, lambda d: generator(d).withColumn("qa", F.try_element_at(parse_qa(F.col("output")), F.lit(1))).where("qa IS NOT NULL").select(*keep), f"{path}/generated", KEYS)
     done = []
     for loop in range(1, max_loops + 1):
-        judged = _pass(lambda a=active: critic(a).withColumn("critique", parse_critique(F.col("output"))).select(*keep, "critique"), f"{path}/critique-{loop}")
+        judged = _pass(active, lambda a: critic(a).withColumn("critique", parse_critique(F.col("output"))).select(*keep, "critique"), f"{path}/critique-{loop}", KEYS)
         passed = F.coalesce(F.col("critique.all_pass"), F.lit(False))
         done.append(judged.where(passed).select(*pair_columns(loop, True)))
         failed = judged.where(~passed)
@@ -57,7 +79,7 @@ def refine_in_passes(jobs: DataFrame, generator: Step, critic: Step, refiner: St
             break
         if not failed.limit(1).count():
             break
-        active = _pass(lambda f=failed: refiner(f).withColumn("qa", F.try_element_at(parse_qa(F.col("output")), F.lit(1))).where("qa IS NOT NULL").select(*keep), f"{path}/refined-{loop}")
+        active = _pass(failed, lambda f: refiner(f).withColumn("qa", F.try_element_at(parse_qa(F.col("output")), F.lit(1))).where("qa IS NOT NULL").select(*keep), f"{path}/refined-{loop}", KEYS)
         if not active.limit(1).count():
             break
     pairs = done[0]
@@ -75,15 +97,14 @@ def refine_traced(jobs: DataFrame, generator: Step, critic: Step, refiner: Step,
     """
     loops, adaptive = MODES[mode], mode == "adaptive"
     keep = [*jobs.columns, "n", "qa"]
-    first = generator(jobs).select(*jobs.columns, F.posexplode(parse_qa(F.col("output"))).alias("n", "qa"))
-    active = _pass(lambda: first, f"{path}/generated")
+    active = _pass(jobs, lambda d: generator(d).select(*jobs.columns, F.posexplode(parse_qa(F.col("output"))).alias("n", "qa")), f"{path}/generated", KEYS)
     ident = qa_id(F.col("chunk_id"), F.col("level"), F.col("n"))
     if not loops:
         whole = active.withColumn("__id", ident).select(*pair_columns(0, True), "__id").drop("qa_id").withColumnRenamed("__id", "qa_id")
         return whole, active.select(ident.alias("qa_id"), F.col("level").alias("bloom_level"), "chunk_id", F.lit(0).alias("total_loops"), F.lit(True).alias("converged"), F.array().cast("array<struct<loop:int>>").alias("loop_records"))
     ended, records = [], []
     for loop in range(1, loops + 1):
-        judged = _pass(lambda a=active: critic(a).withColumn("critique", parse_critique(F.col("output"))).select(*keep, "critique"), f"{path}/critique-{loop}")
+        judged = _pass(active, lambda a: critic(a).withColumn("critique", parse_critique(F.col("output"))).select(*keep, "critique"), f"{path}/critique-{loop}", [*KEYS, "n"])
         judged = judged.withColumn("passed", critique_passes(F.col("critique"), threshold))
         snapshot = F.struct(F.col("qa.question").alias("question"), F.col("qa.ground_truth").alias("ground_truth"))
         records.append(judged.select(ident.alias("qa_id"), "level", "chunk_id", F.struct(F.lit(loop).alias("loop"), snapshot.alias("qa_snapshot"), "critique", "passed").alias("record")))
@@ -92,7 +113,7 @@ def refine_traced(jobs: DataFrame, generator: Step, critic: Step, refiner: Step,
         going = judged.where(~stop)
         if not going.limit(1).count():
             break
-        active = _pass(lambda g=going: refiner(g).withColumn("qa", F.coalesce(F.try_element_at(parse_qa(F.col("output")), F.lit(1)), F.col("qa"))).select(*keep), f"{path}/refined-{loop}")
+        active = _pass(going, lambda g: refiner(g).withColumn("qa", F.coalesce(F.try_element_at(parse_qa(F.col("output")), F.lit(1)), F.col("qa"))).select(*keep), f"{path}/refined-{loop}", [*KEYS, "n"])
     last, every = ended[0], records[0]
     for e, r in zip(ended[1:], records[1:], strict=True):
         last, every = last.unionByName(e), every.unionByName(r)

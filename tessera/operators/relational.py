@@ -13,9 +13,14 @@ def frequency(df: DataFrame, value: Column, seq: Column, name: str = "value") ->
 
 
 def keep_first(df: DataFrame, key: Column, seq: Column) -> DataFrame:
-    """The first row of each key by ``seq``; rows without a key count as one key. Pre-aggregated: no window per key."""
-    least = df.groupBy(F.coalesce(key, F.lit("")).alias("__key")).agg(F.min(seq).alias("__seq"))
-    return df.join(least, (F.coalesce(key, F.lit("")) == F.col("__key")) & (seq == F.col("__seq")), "left_semi")
+    """The first row of each key by ``seq``; rows without a key count as one key. Pre-aggregated: no window per key.
+
+    A null ``seq`` comes first; of rows alike in ``seq`` one stays, told by its place in the input.
+    """
+    names = df.columns
+    placed = df.select("*", F.coalesce(key, F.lit("")).alias("__key"), F.struct(seq.isNotNull(), seq, F.monotonically_increasing_id()).alias("__at"))
+    kept = F.min_by(F.struct(*names), "__at") if names else F.lit(None)
+    return placed.groupBy("__key").agg(kept.alias("__row")).select("__row.*")
 
 
 def jobs(contexts: DataFrame, levels: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -53,3 +58,14 @@ def exemplars_or_any(levels: DataFrame, pool: DataFrame, k: int, order: Column)
     empty = levels.select("level").join(pool.select("level").distinct(), "level", "left_anti")
     every = pool.orderBy(order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(order)))  # k rows
     return own.unionByName(empty.crossJoin(F.broadcast(every.drop("level"))))
+
+
+def with_level_texts(df: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the columns of a small table by level (broadcast), an empty string for a level it lacks."""
+    found = df.join(F.broadcast(texts.select("level", *columns).dropDuplicates(["level"])), "level", "left")
+    return found.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
+
+
+def group_or(column: str, other: str) -> Column:
+    """A grouping column in which null counts as ``other``."""
+    return F.coalesce(F.col(column), F.lit(other)).alias(column)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import chunking, classify, quality
 from tessera.operators import relational
@@ -46,12 +47,15 @@ def valid_chunks(chunks: DataFrame) -> DataFrame:
 
 def prepare(chunks: DataFrame, path: str) -> dict:
     """Write the validated corpus (JSON lines, and by domain); return drop counts and length and source statistics."""
-    text = F.col("text")
-    dropped = relational.drop_accounting(chunks, text, quality.is_metadata(text), quality.is_bad_ocr(text)).first().asDict()
-    kept = valid_chunks(chunks)
+    label = F.when(F.char_length("text") < 100, F.lit("short")).otherwise(quality.disposition(F.col("text")))
+    chunks.withColumn("__label", label).write.mode("overwrite").parquet(f"{path}/labelled")  # every rule runs once
+    told = chunks.sparkSession.read.schema(StructType([*chunks.schema, StructField("__label", StringType())])).parquet(f"{path}/labelled")
+    n = F.count_if(F.coalesce(F.col("__label") == F.lit("short"), F.lit(False)))
+    dropped = told.agg(F.count("*").alias("total"), n.alias("short"), *(F.count_if(F.col("__label") == x).alias(x) for x in ("metadata", "ocr"))).first().asDict()
+    kept = told.where((F.col("__label") == "kept") & quality.has_fields(F.col("chunk_id"), F.col("text"), F.col("source_doc"))).drop("__label")
     write_jsonl(kept, f"{path}/corpus")
     write_by_domain(kept, f"{path}/by_domain")
-    lengths = relational.length_stats(kept, F.char_length(text)).first().asDict()
+    lengths = relational.length_stats(kept, F.char_length("text")).first().asDict()
     sources = kept.agg(F.countDistinct(F.coalesce("source_doc", F.lit(""))).alias("n")).first()["n"]
     return {**dropped, "kept": lengths, "sources": sources}
 

@@ -347,11 +347,36 @@ def q25_anova_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("mean", F.round("mean", 6)).withColumn("m2", F.round("m2", 2))
 
 
-@query()
+# Sequential sums of squares over balanced cell tables: with b's share the same in every a, type II sums are those of the
+# margins. The SQL solves the additive fit by least squares over the cells (a few backfitting rounds reach it).
+_FIT = "WITH RECURSIVE rows AS ({rows}), c AS (SELECT a, b, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS w FROM rows GROUP BY a, b), g AS (SELECT avg(y) AS m, var_pop(y) * count(*) AS total FROM rows),"
+_ANOVA_SQL = _FIT + """
+f AS (
+  SELECT 0 AS k, a, b, n, m, w, (SELECT m FROM g) AS ea, 0.0::DOUBLE AS eb FROM c
+  UNION ALL
+  SELECT k + 1, a, b, n, m, w, ea, sum(n * (m - ea)) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) AS eb
+  FROM (SELECT k, a, b, n, m, w, eb, sum(n * (m - eb)) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) AS ea FROM f WHERE k < 60)
+),
+s AS (
+  SELECT sum(w) AS within, sum(w) + sum(n * pow(m - ea - eb, 2)) AS rss_ab, sum(n) - count(*) AS rest, count(DISTINCT a) AS na, count(DISTINCT b) AS nb,
+         (SELECT sum(w) + sum(n * pow(m - x, 2)) FROM (SELECT *, sum(n * m) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) AS x FROM c)) AS rss_a,
+         (SELECT sum(w) + sum(n * pow(m - x, 2)) FROM (SELECT *, sum(n * m) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) AS x FROM c)) AS rss_b
+  FROM f WHERE k = 60
+),
+e AS (
+  SELECT 'a' AS effect, rss_b - rss_ab AS ss, na - 1 AS df, * EXCLUDE (rss_a, rss_b, rss_ab) FROM s UNION ALL SELECT 'b', rss_a - rss_ab, nb - 1, * EXCLUDE (rss_a, rss_b, rss_ab) FROM s
+  UNION ALL SELECT 'a:b', rss_ab - within, (na - 1) * (nb - 1), * EXCLUDE (rss_a, rss_b, rss_ab) FROM s UNION ALL SELECT 'residual', within, rest, * EXCLUDE (rss_a, rss_b, rss_ab) FROM s
+)
+SELECT effect, round(ss, 5) AS ss, CAST(df AS INTEGER) AS df, CASE WHEN effect <> 'residual' THEN round((ss / df) / (within / rest), 5) END AS f,
+       CASE WHEN effect <> 'residual' THEN round(ss / sum(ss) OVER (), 8) END AS eta_sq FROM e"""
+
+
+@query(_ANOVA_SQL.format(rows=f"SELECT level AS a, strategy AS b, correct::INT AS y FROM ({_CELL_ROWS})"))
 def q25_anova_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = stats.anova_two_way(stats.anova_cells(_cell_rows(spark, sf_dir), F.col("level"), F.col("strategy"), F.col("correct").cast("int")))
-    rows = [(k, float(table[k]["ss"]), int(table[k]["df"]), table[k].get("F"), table[k].get("p"), table[k].get("eta_sq")) for k in ("a", "b", "a:b", "residual")] if "error" not in table else []
-    return spark.createDataFrame(rows, "effect STRING, ss DOUBLE, df INT, f DOUBLE, p DOUBLE, eta_sq DOUBLE")
+    rounded = lambda v, n: None if v is None else round(float(v), n)
+    rows = [(k, rounded(table[k]["ss"], 5), int(table[k]["df"]), rounded(table[k].get("F"), 5), rounded(table[k].get("eta_sq"), 8)) for k in ("a", "b", "a:b", "residual")] if "error" not in table else []
+    return spark.createDataFrame(rows, "effect STRING, ss DOUBLE, df INT, f DOUBLE, eta_sq DOUBLE")
 
 
 _TRACES = f"SELECT conv_id, [{', '.join(repr(n) for n in LEVELS)}][conv_id % 6 + 1] AS level, count(*) AS loops, arg_max(role, turn) = 'assistant' AS converged FROM conversations GROUP BY conv_id"

@@ -40,7 +40,10 @@ def parse_files(spark: SparkSession, folders: list[str], parser: Callable[[str,
                 made.append(text if text is not None and len(text.strip()) >= least else None)
             yield pd.DataFrame({"path": frame["path"], "markdown": made})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load([f for f in folders if _exists(spark, f)])
+    there = [f for f in folders if _exists(spark, f)]
+    if not there:
+        return spark.createDataFrame([], "path STRING, markdown STRING")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(there)
     return files.select("path", "content").mapInPandas(run, "path STRING, markdown STRING")
 
 
@@ -62,6 +65,17 @@ def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> DataFram
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def corrupt_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines that the tolerant reader leaves out: not blank, and no record of the schema."""
+    told = spark.read.schema(f"{schema}, corrupt STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").json(path)
+    return told.select(F.col("corrupt").alias("line"), F.lit(0).alias("one")).where("line IS NOT NULL").select("line")
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first of the paths that there is."""
+    return next((p for p in paths if _exists(spark, p)), None)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 

@@ -30,7 +30,7 @@ def append_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_by_domain(df: DataFrame, path: str, column: str = "legal_domain", other: str = "general") -> None:
-    """Files by domain; a missing one counts as ``other``. Hot domains are spread over tasks before the write."""
+    """Files by domain; a missing one counts as ``other``. Every task writes its own rows' domains, so a hot one is spread as the input is."""
     df.withColumn(column, F.coalesce(column, F.lit(other))).write.mode("overwrite").partitionBy(column).parquet(path)
 
 
