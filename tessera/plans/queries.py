@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking, classify, parse, quality
 from tessera.functions.fixed import CRITIQUE_DIMENSIONS, LEVELS
-from tessera.operators import evaluate, prompts, relational, stats
+from tessera.operators import evaluate, prompts, refine, relational, stats
+from tessera.plans import experiments
 from tessera.schemas import levels
-from tessera.sources import manifest
+from tessera.session import run_folder
+from tessera.sources import manifest, readers
+from tessera.sources.writers import write_by_domain, write_jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -420,14 +423,42 @@ def q28_self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.withColumn("agreement", F.round("agreement", 9))
 
 
-@query(f"""
+_OUTCOME = f"""
 WITH j AS (SELECT doc_id, ordinal, level, [(doc_id * 7 + ordinal + loop) % 4 = 0 FOR loop IN [1, 2, 3]] AS ok FROM documents CROSS JOIN (VALUES {_LEVEL_ROWS}) AS l(level, ordinal))
-SELECT doc_id, level, CASE WHEN ok[1] THEN 1 WHEN ok[2] THEN 2 ELSE 3 END AS refinement_loops, ok[1] OR ok[2] OR ok[3] AS converged FROM j""")
+SELECT doc_id, level, CASE WHEN ok[1] THEN 1 WHEN ok[2] THEN 2 ELSE 3 END AS refinement_loops, ok[1] OR ok[2] OR ok[3] AS converged FROM j"""
+
+
+def _refining(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable, Callable, Callable]:
+    """Jobs, and stand-ins for generator, critic and refiner: the question tells its loop, and a rule on ids which loop passes."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_doc"), F.lit("").alias("text"))
+    loop = F.regexp_extract("qa.question", r"(\d+)", 1).cast("int")
+
+    def pair(n: Column) -> Column:
+        return F.concat(F.lit("<qa_pair><question>loop "), n.cast("string"), F.lit("</question><candidate_answers>A. a\nB. b</candidate_answers><ground_truth>A</ground_truth><legal_rationale>r</legal_rationale></qa_pair>"))
+
+    def critic(df: DataFrame) -> DataFrame:
+        passed = (F.col("chunk_id").cast("long") * 7 + F.col("ordinal") + loop) % 4 == 0
+        return df.withColumn("output", F.concat(*(F.concat(F.lit(f"<{d}>"), F.when(passed, "1").otherwise("0"), F.lit(f"</{d}>")) for d in CRITIQUE_DIMENSIONS)))
+
+    return relational.jobs(docs, levels(spark)), lambda df: df.withColumn("output", pair(F.lit(1))), critic, lambda df: df.withColumn("output", pair(loop + 1))
+
+
+@query(_OUTCOME)
 def q29_refine_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = relational.jobs(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")), levels(spark))
-    ok = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: (F.col("chunk_id") * 7 + F.col("ordinal") + i) % 4 == 0)
-    at = F.array_position(ok, F.lit(True))
-    return found.select(F.col("chunk_id").alias("doc_id"), "level", F.when(at > 0, at).otherwise(3).cast("int").alias("refinement_loops"), (at > 0).alias("converged"))
+    pairs = refine.refine_in_passes(*_refining(spark, sf_dir), run_folder(spark, "refine"))
+    return pairs.select(F.col("chunk_id").cast("long").alias("doc_id"), F.col("bloom_level").alias("level"), "refinement_loops", "converged")
+
+
+@query(f"""
+WITH o AS ({_OUTCOME.strip()})
+SELECT 'adaptive' AS mode, * FROM o UNION ALL SELECT m.mode, o.doc_id, o.level, m.loops, m.loops = 0 FROM o CROSS JOIN (VALUES ('single_pass', 0), ('fixed_2', 2), ('fixed_3', 3)) AS m(mode, loops)""")
+def q29_refine_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every, steps = None, _refining(spark, sf_dir)
+    for mode in ("adaptive", "single_pass", "fixed_2", "fixed_3"):
+        pairs, _ = refine.refine_traced(*steps, run_folder(spark, mode), mode)
+        one = pairs.select(F.lit(mode).alias("mode"), F.col("chunk_id").cast("long").alias("doc_id"), F.col("bloom_level").alias("level"), "refinement_loops", "converged")
+        every = one if every is None else every.unionByName(one)
+    return every
 
 
 _QA_XML = "concat('<QA_pair><question> Q', conv_id, ' </question><candidate_answers>\nA. ', role, '\n\nB) two', CASE WHEN turn % 3 = 0 THEN '\nnote' ELSE '' END, '\n</candidate_answers><ground_truth>A</ground_truth>', CASE WHEN turn % 4 = 3 THEN '' ELSE '<legal_rationale> r </legal_rationale>' END, '</qa_pair>')"
@@ -487,8 +518,9 @@ def q34_progress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(lang, 'general') AS legal_domain, count(*) AS n FROM documents GROUP BY ALL")
 def q35_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumn("legal_domain", F.coalesce("lang", F.lit("general")))
-    return docs.groupBy("legal_domain").agg(F.count("*").alias("n"))
+    path = run_folder(spark, "domains")
+    write_by_domain(read(spark, sf_dir, "documents").withColumnRenamed("lang", "legal_domain"), path)
+    return spark.read.parquet(path).groupBy(F.col("legal_domain").cast("string").alias("legal_domain")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT md5(text) AS h, count(*) AS n FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark) GROUP BY ALL")
@@ -506,3 +538,47 @@ def q36_completed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT CAST(count(*) AS BIGINT) AS n_pairs, count(*) FILTER (converged) AS converged, round(count(*) FILTER (converged) / greatest(count(*), 1), 4) AS convergence_rate FROM ({_TRACES})")
 def q37_convergence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.convergence(_traces(spark, sf_dir)).withColumn("convergence_rate", F.round("convergence_rate", 4))
+
+
+@query("SELECT reader, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents CROSS JOIN (VALUES ('strict'), ('tolerant'), ('sniffed')) AS r(reader) GROUP BY reader")
+def q38_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, schema = run_folder(spark, "lines"), "doc_id LONG, text STRING"
+    write_jsonl(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    readers_of = {"strict": readers.read_jsonl, "tolerant": readers.read_jsonl_tolerant, "sniffed": readers.read_records}
+    every = [f(spark, path, schema).agg(F.lit(name).alias("reader"), F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum(F.char_length("text").cast("long")).alias("chars")) for name, f in readers_of.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query(f"""
+WITH p AS (SELECT event_id // 10 AS qa, event_id % 10 AS k, (event_id * 31 + (event_id % 10) * (event_id % 10) * 7) % 5 AS v FROM events),
+c AS (SELECT qa, v, count(*) AS n, min(k) AS f FROM p WHERE v < 4 GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY qa ORDER BY n DESC, f) AS r, sum(n) OVER (PARTITION BY qa) AS t FROM c),
+s AS (SELECT [{', '.join(repr(n) for n in LEVELS)}][q.qa % 6 + 1] AS level, q.qa % 4 AS truth, w.v, coalesce(w.n / w.t, 0) AS agreement FROM (SELECT DISTINCT qa FROM p) q LEFT JOIN w ON q.qa = w.qa AND r = 1)
+SELECT level, count(*) AS total_questions, count(*) FILTER (v = truth) AS correct, round(count(*) FILTER (v = truth) / count(*), 4) AS accuracy, round(avg(agreement), 4) AS sc_agreement_rate FROM s GROUP BY level""")
+def q39_result_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, qa = F.col("event_id") % 10, F.floor(F.col("event_id") / 10)
+    v = (F.col("event_id") * 31 + k * k * 7) % 5
+    level = F.element_at(F.array(*(F.lit(n) for n in LEVELS)), (qa % 6 + 1).cast("int"))
+    letter = lambda n: F.chr((F.lit(65) + n).cast("int"))
+    answers = read(spark, sf_dir, "events").select(
+        qa.alias("qa_id"), level.alias("level"), F.concat(letter(qa % 4), F.lit(". yes")).alias("ground_truth"), F.lit("self_consistency").alias("strategy"), F.lit("with_context").alias("condition"), k.alias("path"), F.concat(F.lit("so it is "), letter(v)).alias("output")
+    )
+    return experiments.result_cells(experiments.score_answers(answers, "stub")).select("level", "total_questions", "correct", "accuracy", "sc_agreement_rate")
+
+
+@query(f"SELECT l.level, CASE WHEN l.ordinal <= 3 THEN 'do ' || lower(l.level) ELSE '' END AS definition, l.ordinal FROM (VALUES {_LEVEL_ROWS}) AS l(level, ordinal)")
+def q40_level_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = levels(spark).where("ordinal <= 3").select("level", F.concat(F.lit("do "), F.lower("level")).alias("definition"))
+    return relational.with_level_texts(levels(spark), known, "definition")
+
+
+@query(f"""
+WITH pool AS (SELECT conv_id, turn, [{', '.join(repr(n) for n in LEVELS)}][conv_id % 4 + 1] AS level FROM conversations),
+own AS (SELECT level, row_number() OVER (PARTITION BY level ORDER BY conv_id, turn) AS r, conv_id, turn FROM pool),
+any_level AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS r, conv_id, turn FROM pool)
+SELECT level, CAST(r AS INTEGER) AS rank, conv_id, turn FROM own WHERE r <= 2
+UNION ALL SELECT l.level, CAST(r AS INTEGER), conv_id, turn FROM any_level CROSS JOIN (VALUES {_LEVEL_ROWS}) AS l(level, ordinal) WHERE r <= 2 AND l.level NOT IN (SELECT level FROM pool)""")
+def q41_exemplars_or_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.element_at(F.array(*(F.lit(n) for n in LEVELS)), (F.col("conv_id") % 4 + 1).cast("int"))
+    pool = read(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"))
+    return relational.exemplars_or_any(levels(spark), pool, 2, F.struct("conv_id", "turn")).select("level", "rank", "conv_id", "turn")
