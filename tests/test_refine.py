@@ -88,3 +88,38 @@ def test_prompts(spark):
         prompts.answer_prompt("other", {})
     with pytest.raises(KeyError):
         prompts.render("{missing}")
+
+
+def test_resume_by_key(spark, tmp_path):
+    """A run with more jobs asks only for the new ones, and the result is that of all of them."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions.fixed import CRITIQUE_DIMENSIONS
+    from tessera.operators.refine import refine_in_passes
+
+    asked = []
+
+    def generator(df):
+        asked.append(sorted(r.chunk_id for r in df.collect()))
+        return df.withColumn("output", F.lit("<qa_pair><question>q</question><candidate_answers>A. a</candidate_answers><ground_truth>A</ground_truth><legal_rationale>r</legal_rationale></qa_pair>"))
+
+    def critic(df):
+        return df.withColumn("output", F.concat(*(F.concat(F.lit(f"<{d}>"), F.when(F.col("chunk_id") != "c2", "1").otherwise("0"), F.lit(f"</{d}>")) for d in CRITIQUE_DIMENSIONS)))
+
+    jobs = spark.createDataFrame([(f"c{i}", "t", "s", "Apply") for i in range(4)], "chunk_id string, text string, source_doc string, level string")
+    run = lambda some: {(r.chunk_id, r.refinement_loops, r.converged) for r in refine_in_passes(some, generator, critic, generator, str(tmp_path / "run"), 2).collect()}
+    assert run(jobs.where("chunk_id < 'c2'")) == {("c0", 1, True), ("c1", 1, True)}
+    asked.clear()
+    assert run(jobs) == {("c0", 1, True), ("c1", 1, True), ("c2", 2, False), ("c3", 1, True)}
+    assert ["c2", "c3"] in asked and run(jobs.where("chunk_id = 'c1'")) == {("c1", 1, True)}
+
+
+def test_first_rows(spark):
+    """Null order and ties lose no key and repeat none."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.relational import keep_first
+
+    df = spark.createDataFrame([("a", None, 1), ("a", 2, 2), ("b", 3, 3), ("b", 3, 4), (None, 5, 5), ("", 4, 6)], "k string, seq int, x int")
+    got = {r.k: r for r in keep_first(df, F.col("k"), F.col("seq")).collect()}
+    assert len(got) == 3 and got["a"].x == 1 and got["b"].seq == 3 and got[""].x == 6
