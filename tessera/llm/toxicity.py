@@ -135,8 +135,10 @@ def parts(text: str) -> Iterator[str]:
 
 def document_features(text: str, v: np.ndarray, bias: float) -> np.ndarray:
     """The two highest word scores, and logarithms of the words in the SVM's positive half and of all words."""
-    top, positive, n = [-3.0, -3.0], 0, 0
-    for low in map(lambda t: unicodedata.normalize("NFC", t), parts(text)):
+    top, positive, n, read = [-3.0, -3.0], 0, 0, 0
+    for part in parts(text):
+        read += len(part)
+        low = unicodedata.normalize("NFC", part if read == len(text) else part[:-1])  # a cut is one white space
         spaced = [m[0].replace(" ", "").replace("\t", "") for m in SPACED.finditer(low)]
         scores = word_scores(encode(" ".join([low, *spaced]) if spaced else low), v) + bias
         high = np.partition(scores, -2)[-2:] if len(scores) > 1 else scores
