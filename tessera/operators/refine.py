@@ -31,7 +31,7 @@ def _pass(source: DataFrame, step: Callable[[DataFrame], DataFrame], path: str,
     without a finished write of both counts for nothing. Rows of keys that ``source`` lacks are left out of the result.
     """
     spark = source.sparkSession
-    named = source.select(*(F.col(k).cast("string").alias(k) for k in keys)).distinct()
+    named = source.select(*(F.col(k).cast("string").alias(k) for k in keys))  # a key may repeat
     done, n = [], 0
     while _exists(spark, f"{path}/rows-{n}"):
         if _exists(spark, f"{path}/rows-{n}/_SUCCESS") and _exists(spark, f"{path}/keys-{n}/_SUCCESS"):
@@ -39,12 +39,15 @@ def _pass(source: DataFrame, step: Callable[[DataFrame], DataFrame], path: str,
         n += 1
     schema = step(source).schema
     at = lambda kind, some: spark.read.schema(named.schema if kind == "keys" else schema).parquet(*(f"{path}/{kind}-{i}" for i in some))
+    if not done:  # these rows are those of ``source``, and no join need tell
+        step(source).write.parquet(f"{path}/rows-{n}")
+        named.write.parquet(f"{path}/keys-{n}")
+        return at("rows", [n])
     match = lambda a, b: functools.reduce(lambda x, y: x & y, (a[k].cast("string").eqNullSafe(b[k]) for k in keys))
-    asked = at("keys", done) if done else None
-    left = named if asked is None else named.join(asked, match(named, asked), "left_anti")
-    if not done or left.limit(1).count():
-        new = source if asked is None else source.join(asked, match(source, asked), "left_anti")
-        step(new).write.parquet(f"{path}/rows-{n}")
+    asked = at("keys", done)
+    left = named.join(asked, match(named, asked), "left_anti")
+    if left.limit(1).count():
+        step(source.join(asked, match(source, asked), "left_anti")).write.parquet(f"{path}/rows-{n}")
         left.write.parquet(f"{path}/keys-{n}")
         done.append(n)
     made = at("rows", done)

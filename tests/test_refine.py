@@ -123,3 +123,20 @@ def test_first_rows(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 2, 2), ("b", 3, 3), ("b", 3, 4), (None, 5, 5), ("", 4, 6)], "k string, seq int, x int")
     got = {r.k: r for r in keep_first(df, F.col("k"), F.col("seq")).collect()}
     assert len(got) == 3 and got["a"].x == 1 and got["b"].seq == 3 and got[""].x == 6
+
+
+@pytest.mark.parametrize("mode", ["fixed_3", "adaptive"])
+def test_traced_lineage(spark, tmp_path, mode):
+    """A first run's pairs are those of the written passes: no join with the passes before, and each row is read once."""
+    jobs, g, c, r = steps(spark)
+    pairs, _ = refine_traced(jobs, g, c, r, str(tmp_path / mode), mode)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation [") == 3
+
+
+def test_modes_lineage(spark):
+    from oracle import SF
+
+    from tessera.plans.queries import QUERIES
+
+    assert "Join" not in QUERIES["q29_refine_modes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
