@@ -50,9 +50,12 @@ def _ranges(size: int, overlap: int, least: int, most: int) -> str:
     return f"aggregate(paras, {zero}, (s, p) -> {step}, s -> {emit('s')})"
 
 
-def chunk_documents(docs: DataFrame, text: Column, keys: list[str], size: int = 1500, overlap: int = 200, least: int = 200, most: int = 5000, boundary: str = SECTION) -> DataFrame:
-    """One row per chunk: the ``keys``, chunk_index, text, start_char, end_char. Null and short texts give none."""
-    base = docs.select(*keys, text.alias("__text")).where(F.char_length(strip_u(F.col("__text"))) >= least)
+def chunk_documents(docs: DataFrame, text: Column, keys: list[str], size: int = 1500, overlap: int = 200, least: int = 200, most: int = 5000, boundary: str = SECTION, whole: Column | None = None) -> DataFrame:
+    """One row per chunk: the ``keys``, chunk_index, text, start_char, end_char. Null and short texts give none.
+
+    Where ``text`` was made from the document's, ``whole`` is that one, which then has to have the least length.
+    """
+    base = docs.where(F.char_length(strip_u(text if whole is None else whole)) >= least).select(*keys, text.alias("__text"))
     told = F.transform(paragraphs_u(F.col("__text")), lambda p: F.struct(p.alias("text"), p.rlike(boundary).alias("edge"), F.char_length(p).alias("len")))
     ranged = base.select(*keys, told.alias("paras")).withColumn("__ranges", F.expr(_ranges(size, overlap, least, most)))
     one = ranged.select(*keys, "paras", F.posexplode("__ranges").alias("chunk_index", "r"))

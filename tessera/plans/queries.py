@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking, classify, parse, quality
 from tessera.functions.fixed import CRITIQUE_DIMENSIONS, LEVELS
+from tessera.functions.text import BREAKS
 from tessera.operators import evaluate, prompts, refine, relational, stats
 from tessera.plans import experiments
 from tessera.schemas import levels
@@ -46,8 +47,8 @@ def text() -> Column:
 
 
 def spaced_lines() -> Column:
-    """Lines as paragraphs."""
-    return F.replace(text(), F.lit("\n"), F.lit("\n\n"))
+    """Lines as paragraphs, whatever ends them."""
+    return F.regexp_replace(text(), f"[{BREAKS}]", "\n\n")
 
 
 
@@ -185,7 +186,7 @@ _CHUNK_ROWS = "SELECT doc_id, chunk_index, 'doc_' || doc_id || '_chunk_' || lpad
 
 
 def _chunk_rows(docs: DataFrame, boundary: str) -> DataFrame:
-    made = chunking.chunk_documents(docs, spaced_lines(), ["doc_id"], boundary=boundary)
+    made = chunking.chunk_documents(docs, spaced_lines(), ["doc_id"], boundary=boundary, whole=text())
     name = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return made.select("doc_id", "chunk_index", classify.chunk_id(name, F.col("chunk_index")).alias("chunk_id"), F.char_length("text").cast("long").alias("n"), classify.fingerprint(text()).alias("content_hash"), "start_char", "end_char")
 

@@ -47,3 +47,19 @@ import __spark_entry__ as e
 assert e.llm is None and e.corpus_pipeline is None and len(e.queries()) > 30 and e.oracle_sql()
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120).returncode == 0
+
+
+@pytest.mark.parametrize("name", ["q09_chunks"])
+def test_chunked_documents(spark, tmp_path, name):
+    """A document is chunked by its own length, whatever ends its lines."""
+    import duckdb
+
+    words = "Thin word " * 9
+    texts = ["a" * 98 + "\n\n\n" + "b" * 98, "a" * 99 + "\n" + "b" * 99, "a" * 99 + "\n" + "b" * 100, " \n" + "a" * 99 + "\n" + "b" * 98 + "\n\n", "", None]
+    texts += [end.join([words + str(i) for i in range(60)]) for end in ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u2029", "\n\r\n")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, rel = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
+    assert same_rows(df.collect(), df.columns, rel.fetchall(), list(rel.columns))
