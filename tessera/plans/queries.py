@@ -207,7 +207,7 @@ def q10_chunks_with_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_chunks_sql("false", "SELECT lang, count(*) AS n, min(length(t)) AS shortest, round(avg(length(t)), 6) AS mean, max(length(t)) AS longest FROM c GROUP BY lang"))
 def q11_chunk_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.chunk_documents(read(spark, sf_dir, "documents"), spaced_lines(), ["doc_id", "lang"])
+    made = chunking.chunk_documents(read(spark, sf_dir, "documents"), spaced_lines(), ["doc_id", "lang"], whole=text())
     return relational.length_stats(made, F.char_length("text").cast("long"), ["lang"]).withColumn("mean", F.round("mean", 6))
 
 

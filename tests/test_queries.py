@@ -49,7 +49,7 @@ assert e.llm is None and e.corpus_pipeline is None and len(e.queries()) > 30 and
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120).returncode == 0
 
 
-@pytest.mark.parametrize("name", ["q09_chunks", "q10_chunks_with_boundaries"])
+@pytest.mark.parametrize("name", ["q09_chunks", "q10_chunks_with_boundaries", "q11_chunk_stats_by_lang"])
 def test_chunked_documents(spark, tmp_path, name):
     """A document is chunked by its own length, whatever ends its lines."""
     import duckdb
