@@ -8,6 +8,7 @@ with more, asks only for those that no finished pass has.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,8 @@ def _pass(source: DataFrame, step: Callable[[DataFrame], DataFrame], path: str,
     """``step`` of ``source``, written under ``path`` by key: rows whose key is listed there are not asked again.
 
     New keys' rows are appended as a batch of their own, with the keys asked (also of rows that ``step`` dropped); a batch
-    without a finished write of both counts for nothing. Rows of keys that ``source`` lacks are left out of the result.
+    without a finished write of both counts for nothing. Rows of keys that ``source`` lacks are left out of the result: where
+    there are any, the others are written anew, so that no plan holds the passes before.
     """
     spark = source.sparkSession
     named = source.select(*(F.col(k).cast("string").alias(k) for k in keys))  # a key may repeat
@@ -44,14 +46,20 @@ def _pass(source: DataFrame, step: Callable[[DataFrame], DataFrame], path: str,
         named.write.parquet(f"{path}/keys-{n}")
         return at("rows", [n])
     match = lambda a, b: functools.reduce(lambda x, y: x & y, (a[k].cast("string").eqNullSafe(b[k]) for k in keys))
+    # never broadcast: keys grow with the jobs, and their files pack so well that they look small
+    without = lambda a, b: a.join(b.hint("merge"), match(a, b), "left_anti")
     asked = at("keys", done)
-    left = named.join(asked, match(named, asked), "left_anti")
+    left = without(named, asked)
     if left.limit(1).count():
-        step(source.join(asked, match(source, asked), "left_anti")).write.parquet(f"{path}/rows-{n}")
+        step(without(source, asked)).write.parquet(f"{path}/rows-{n}")
         left.write.parquet(f"{path}/keys-{n}")
         done.append(n)
     made = at("rows", done)
-    return made.join(named, match(made, named), "left_semi")
+    if not without(asked, named).limit(1).count():
+        return made
+    some = f"{path}/of-{uuid.uuid4().hex}"
+    made.join(named.hint("merge"), match(made, named), "left_semi").write.parquet(some)
+    return spark.read.schema(schema).parquet(some)
 
 
 def pair_columns(loops: Column | int, converged: bool) -> list[Column]:
@@ -122,5 +130,5 @@ def refine_traced(jobs: DataFrame, generator: Step, critic: Step, refiner: Step,
         last, every = last.unionByName(e), every.unionByName(r)
     pairs = last.withColumn("__id", ident).select(*pair_columns(F.col("loops"), False), "__id", "conv").drop("qa_id", "converged").withColumnsRenamed({"__id": "qa_id", "conv": "converged"})
     traces = every.groupBy("qa_id", F.col("level").alias("bloom_level"), "chunk_id").agg(F.sort_array(F.collect_list("record")).alias("loop_records"))  # at most ``loops`` each
-    traces = traces.join(pairs.select("qa_id", F.col("refinement_loops").alias("total_loops"), "converged"), "qa_id")
+    traces = traces.join(pairs.select("qa_id", F.col("refinement_loops").alias("total_loops"), "converged").hint("merge"), "qa_id")
     return pairs, traces

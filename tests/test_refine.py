@@ -140,3 +140,31 @@ def test_modes_lineage(spark):
     from tessera.plans.queries import QUERIES
 
     assert "Join" not in QUERIES["q29_refine_modes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_passes_lineage(spark, tmp_path, monkeypatch):
+    """Pairs of a first run, and of runs that start again with the same jobs, more or fewer, are scans of written rows, and no pass broadcasts keys."""
+    from pyspark.sql import DataFrameWriter
+
+    jobs, g, c, r = steps(spark)
+    plans, write = [], DataFrameWriter.parquet
+
+    def spied(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    want = {"pass1": 1, "pass3": 3, "never": 3, "garbled_critique": 2}
+    for names in (["pass1", "never"], ["pass1", "never"], list(SCRIPT), ["pass3", "pass1"], ["never", "bad_refinement"]):
+        pairs = refine_in_passes(jobs.where(F.col("chunk_id").isin(names)), g, c, r, str(tmp_path / "run"))
+        assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert {x.chunk_id: x.refinement_loops for x in pairs.collect()} == {k: v for k, v in want.items() if k in names}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_outcome_lineage(spark):
+    from oracle import SF
+
+    from tessera.plans.queries import QUERIES
+
+    assert "Join" not in QUERIES["q29_refine_outcome"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
